@@ -40,8 +40,10 @@ def round4(c: Column) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body``.
 
-    Inside a lambda the bound value is a variable reference, so the optimizer
-    cannot copy the expensive expression into an inner loop.
+    Inside a lambda the bound value is a variable reference. A plain column
+    used there would not do: when the optimizer moves a filter below the
+    projection that computes the column, it copies the whole expression into
+    the loop, and an O(n) array becomes O(n^2).
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -58,12 +60,16 @@ def array_sum(arr: Column) -> Column:
 
 def array_mean(arr: Column) -> Column:
     """Mean of the elements, NULL for an empty array."""
-    return F.when(F.array_size(arr) > 0, array_sum(arr) / F.array_size(arr))
+    return let(arr, lambda a: F.when(F.array_size(a) > 0, array_sum(a) / F.array_size(a)))
 
 
 def array_var(arr: Column) -> Column:
     """Population variance of the elements, two passes for stability."""
-    return let(array_mean(arr), lambda m: array_mean(F.transform(arr, lambda x: (x - m) * (x - m))))
+
+    def spread(a: Column) -> Column:
+        return let(array_mean(a), lambda m: array_mean(F.transform(a, lambda x: (x - m) * (x - m))))
+
+    return let(arr, spread)
 
 
 def array_std(arr: Column) -> Column:

@@ -80,17 +80,19 @@ def run_counts(tokens: Column) -> Column:
             lambda b: F.transform(b, lambda x, j: F.coalesce(F.get(b, j + 1), F.array_size(s)) - x),
         )
 
-    return F.when(F.array_size(tokens) > 0, let(F.sort_array(tokens), widths)).otherwise(
-        F.array().cast("array<int>")
+    none = F.array().cast("array<int>")
+    return let(
+        F.sort_array(tokens), lambda s: F.when(F.array_size(s) > 0, widths(s)).otherwise(none)
     )
 
 
 def entropy_bits(counts: Column, total: Column) -> Column:
     """Shannon entropy in bits of a count array with the given total."""
-    plogp = F.aggregate(
-        counts, F.lit(0.0), lambda a, c: a + (c / total) * F.log2(c / total)
-    )
-    return -plogp
+
+    def plogp(t: Column) -> Column:
+        return F.aggregate(counts, F.lit(0.0), lambda a, c: a + (c / t) * F.log2(c / t))
+
+    return -let(total, plogp)
 
 
 def joined_words(words: str | Column) -> Column:
@@ -133,10 +135,13 @@ def perplexity_score(entropy: str | Column) -> Column:
 
 
 def burstiness_cv(lengths: str | Column) -> Column:
-    n = F.transform(col(lengths), lambda x: x.cast("double"))
-    return F.when(F.array_size(n) < MIN_SENTENCES, 0.0).otherwise(
-        safe_div(array_std(n), array_mean(n))
-    )
+
+    def spread(n: Column) -> Column:
+        return F.when(F.array_size(n) < MIN_SENTENCES, 0.0).otherwise(
+            safe_div(array_std(n), array_mean(n))
+        )
+
+    return let(F.transform(col(lengths), lambda x: x.cast("double")), spread)
 
 
 def burstiness_score(cv: str | Column, n_sentences: Column) -> Column:
@@ -170,16 +175,19 @@ def vocabulary_score(ttr: Column, hapax: Column) -> Column:
 
 def trigram_repetition(words: str | Column) -> Column:
     """Share of trigrams that occur three times or more."""
-    w = col(words)
-    n = F.greatest(F.array_size(w) - 2, F.lit(0))
-    grams = F.transform(
-        F.slice(w, F.lit(1), n),
-        lambda a, i: F.concat_ws(" ", a, F.get(w, i + 1), F.get(w, i + 2)),
-    )
-    repeated = F.aggregate(
-        F.filter(run_counts(grams), lambda c: c >= 3), F.lit(0), lambda a, c: a + c
-    )
-    return repeated / F.greatest(n, F.lit(1))
+
+    def share(w: Column) -> Column:
+        n = F.greatest(F.array_size(w) - 2, F.lit(0))
+        grams = F.transform(
+            F.slice(w, F.lit(1), n),
+            lambda a, i: F.concat_ws(" ", a, F.get(w, i + 1), F.get(w, i + 2)),
+        )
+        repeated = F.aggregate(
+            F.filter(run_counts(grams), lambda c: c >= 3), F.lit(0), lambda a, c: a + c
+        )
+        return repeated / F.greatest(n, F.lit(1))
+
+    return let(col(words), share)
 
 
 def marker_count(joined: str | Column) -> Column:
@@ -196,15 +204,17 @@ def repetition_score(ratio: Column, density: Column) -> Column:
 
 
 def start_diversity(starts: str | Column) -> Column:
-    s = col(starts)
-    return safe_div(F.array_size(F.array_distinct(s)), F.array_size(s))
+    return let(col(starts), lambda s: safe_div(F.array_size(F.array_distinct(s)), F.array_size(s)))
 
 
 def length_entropy(lengths: str | Column) -> Column:
     """Entropy of sentence lengths over its maximum, log2 of their number."""
-    n = col(lengths)
-    top = F.when(F.array_size(n) > 1, F.log2(F.array_size(n))).otherwise(1.0)
-    return let(run_counts(n), lambda k: entropy_bits(k, F.array_size(n))) / top
+
+    def share(n: Column) -> Column:
+        top = F.when(F.array_size(n) > 1, F.log2(F.array_size(n))).otherwise(1.0)
+        return entropy_bits(run_counts(n), F.array_size(n)) / top
+
+    return let(col(lengths), share)
 
 
 def structure_score(diversity: Column, norm_entropy: Column, n_sentences: Column) -> Column:

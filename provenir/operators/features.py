@@ -365,10 +365,11 @@ def embedding_stats(df: DataFrame, vec: str) -> DataFrame:
             "_std": array_std(v),
         }
     )
-    ent = -F.aggregate(
-        F.filter(size, lambda x: x > 0),
-        F.lit(0.0),
-        lambda a, x: a + (x / F.col("_t")) * F.ln(x / F.col("_t") + 1e-10),
+    ent = -let(
+        F.col("_t"),
+        lambda t: F.aggregate(
+            F.filter(size, lambda x: x > 0), F.lit(0.0), lambda a, x: a + (x / t) * F.ln(x / t + 1e-10)
+        ),
     )
     d = d.withColumns({"feature_entropy": ent, "score": clip(0.5 + (F.col("_std") - 0.3) * 0.5)})
     notes = flags(
@@ -398,9 +399,12 @@ def embedding_item(df: DataFrame, item: str, idx: str, score: str = "score", k:
 
 def split_patches(vec: str | Column, width: int) -> Column:
     """Cut one vector into equal patches: ARRAY<ARRAY<DOUBLE>>."""
-    v = col(vec)
-    count = F.floor(F.array_size(v) / width).cast("int")
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda p: F.slice(v, p * width + 1, F.lit(width)))
+
+    def cut(v: Column) -> Column:
+        count = F.floor(F.array_size(v) / width).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda p: F.slice(v, p * width + 1, F.lit(width)))
+
+    return let(col(vec), cut)
 
 
 def self_attention(patches: str | Column) -> Column:
@@ -437,19 +441,25 @@ def patch_stats(df: DataFrame, patches: str) -> DataFrame:
     p = col(patches)
     side = F.floor(F.sqrt(F.array_size(p).cast("double"))).cast("int")
 
-    def gap(i: Column) -> Column:
-        return array_mean(F.zip_with(F.get(p, i), F.get(p, i + 1), lambda a, b: F.abs(a - b)))
+    def gaps(q: Column) -> Column:
+        def inner(sd: Column) -> Column:
+            at = F.sequence(F.lit(0), F.array_size(q) - 2)
+            return F.filter(at, lambda i: (i < sd * sd) & (i % sd != sd - 1))
+
+        def gap(i: Column) -> Column:
+            return array_mean(F.zip_with(F.get(q, i), F.get(q, i + 1), lambda a, b: F.abs(a - b)))
+
+        return F.transform(let(side, inner), gap)
 
-    inner = F.filter(
-        F.sequence(F.lit(0), F.array_size(p) - 2), lambda i: (i < side * side) & (i % side != side - 1)
-    )
-    n = F.array_size("_att")
     flat = F.flatten("_att")
     ent = -F.aggregate(
         F.filter(flat, lambda x: x > 0), F.lit(0.0), lambda a, x: a + x * F.ln(x + 1e-10)
     )
-    uni = 1.0 - array_mean(F.transform(flat, lambda x: F.abs(x - F.lit(1.0) / n))) * n
-    d = df.withColumn("_att", self_attention(patches)).withColumn("_gaps", F.transform(inner, gap))
+    uni = let(
+        F.array_size("_att"),
+        lambda n: 1.0 - array_mean(F.transform(flat, lambda x: F.abs(x - F.lit(1.0) / n))) * n,
+    )
+    d = df.withColumn("_att", self_attention(patches)).withColumn("_gaps", let(p, gaps))
     mean, std = array_mean(F.col("_gaps")), array_std(F.col("_gaps"))
     bound = F.when((side < 2) | (mean < 1e-8), 0.0).otherwise(clip(std / (mean + 1e-8) - 0.5))
     d = d.withColumns(
@@ -493,22 +503,24 @@ def grid_coherence(grid: str | Column, rows: int, cols: int) -> Column:
 
     The grid is one row-major array, so neighbours are positions in the row.
     """
-    g = col(grid)
 
-    def at(p: Column) -> Column:
-        r, c = F.floor(p / cols), p % cols
-        around = [
-            F.get(g, p),
-            F.when(r > 0, F.get(g, p - cols)),
-            F.when(r < rows - 1, F.get(g, p + cols)),
-            F.when(c > 0, F.get(g, p - 1)),
-            F.when(c < cols - 1, F.get(g, p + 1)),
-        ]
-        vals = F.filter(F.array(*around), lambda x: x.isNotNull())
-        coh = let(vals, lambda v: 1.0 - F.least(array_std(v) / (array_mean(v) + 1e-10), F.lit(1.0)))
-        return F.when(F.get(g, p) > 0, coh).otherwise(0.0)
+    def cells(g: Column) -> Column:
+        def at(p: Column) -> Column:
+            r, c = F.floor(p / cols), p % cols
+            around = [
+                F.get(g, p),
+                F.when(r > 0, F.get(g, p - cols)),
+                F.when(r < rows - 1, F.get(g, p + cols)),
+                F.when(c > 0, F.get(g, p - 1)),
+                F.when(c < cols - 1, F.get(g, p + 1)),
+            ]
+            vals = F.filter(F.array(*around), lambda x: x.isNotNull())
+            coh = let(vals, lambda v: 1.0 - F.least(array_std(v) / (array_mean(v) + 1e-10), F.lit(1.0)))
+            return F.when(F.get(g, p) > 0, coh).otherwise(0.0)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(rows * cols - 1)), at)
+        return F.transform(F.sequence(F.lit(0), F.lit(rows * cols - 1)), at)
+
+    return let(col(grid), cells)
 
 
 def grid_summary(df: DataFrame, item: str, strength: str, quality: str) -> DataFrame:
@@ -639,11 +651,14 @@ def _dist(a: Column, b: Column) -> Column:
 
 def eye_aspect_ratio(points: str | Column) -> Column:
     """Eye openness from six landmarks in order: two corners, four lids."""
-    p = col(points)
-    pt = [F.get(p, F.lit(j)) for j in range(6)]
-    h = _dist(pt[0], pt[3])
-    v = _dist(pt[1], pt[5]) + _dist(pt[2], pt[4])
-    return F.when(h < 1e-6, 0.0).otherwise(safe_div(v, 2.0 * h))
+
+    def openness(p: Column) -> Column:
+        pt = [F.get(p, F.lit(j)) for j in range(6)]
+        h = _dist(pt[0], pt[3])
+        v = _dist(pt[1], pt[5]) + _dist(pt[2], pt[4])
+        return F.when(h < 1e-6, 0.0).otherwise(safe_div(v, 2.0 * h))
+
+    return let(col(points), openness)
 
 
 def ear_rows(df: DataFrame, keys: list[str], place: str, x: str, y: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bands import argmax_label, noise_level, status_band, verdict_band
-from ..functions.exprs import clip, flags, fmt
+from ..functions.exprs import clip, flags, fmt, let
 
 CORES = ("biosignal", "artifact", "alignment")
 
@@ -323,14 +323,17 @@ def _modalities(df: DataFrame, item: str, temperature: float) -> DataFrame:
         F.percentile("score", 0.5).alias("_med"),
         F.stddev_pop("score").alias("_std"),
     )
-    raw = F.transform(
-        "_m", lambda x: x["confidence"] * (0.7 + 0.3 * (1.0 - F.abs(x["score"] - F.col("_med"))))
+    raw = let(
+        F.col("_med"),
+        lambda med: F.transform(
+            "_m", lambda x: x["confidence"] * (0.7 + 0.3 * (1.0 - F.abs(x["score"] - med)))
+        ),
     )
     m = m.withColumn("_e", F.transform(raw, lambda r: F.exp(r / temperature)))
     tot = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x) + 1e-10
     m = m.withColumn("_tot", tot)
     att = F.when(F.array_size("_m") == 1, F.array(F.lit(1.0))).otherwise(
-        F.transform("_e", lambda e: e / F.col("_tot"))
+        let(F.col("_tot"), lambda t: F.transform("_e", lambda e: e / t))
     )
     return m.withColumn("_a", att)
 

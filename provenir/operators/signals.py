@@ -21,27 +21,50 @@ HR_NORMAL = (50, 120)
 
 def znorm_array(sig: str | Column) -> Column:
     """Zero mean and unit variance, NULL for a flat or short signal."""
-    s = col(sig)
-    ok = (F.array_size(s) >= MIN_SAMPLES) & (array_std(s) >= 1e-6)
-    norm = let(
-        F.struct(array_mean(s).alias("m"), array_std(s).alias("d")),
-        lambda st: F.transform(s, lambda x: (x - st["m"]) / st["d"]),
-    )
-    return F.when(ok, norm)
+
+    def norm(s: Column) -> Column:
+        return let(
+            F.struct(array_mean(s).alias("m"), array_std(s).alias("d")),
+            lambda st: F.when(
+                (F.array_size(s) >= MIN_SAMPLES) & (st["d"] >= 1e-6),
+                F.transform(s, lambda x: (x - st["m"]) / st["d"]),
+            ),
+        )
+
+    return let(col(sig), norm)
+
+
+def unit_array(sig: str | Column, floor: float = 0.01) -> Column:
+    """Standardised samples, NULL where the spread is at most ``floor``."""
+
+    def norm(s: Column) -> Column:
+        return let(
+            F.struct(array_mean(s).alias("m"), array_std(s).alias("d")),
+            lambda st: F.when(st["d"] > floor, F.transform(s, lambda x: (x - st["m"]) / st["d"])),
+        )
+
+    return let(col(sig), norm)
 
 
 def smooth_array(sig: str | Column, width: int) -> Column:
     """Centred moving average of the samples, zero padded at both ends."""
-    s = col(sig)
     d = (width - 1) // 2
     back = width - 1 - d
 
-    def at(i: Column) -> Column:
-        lo = F.greatest(i - back, F.lit(0))
-        hi = F.least(i + d, F.array_size(s) - 1)
-        return array_sum(F.slice(s, lo + 1, hi - lo + 1)) / width
+    def smooth(s: Column) -> Column:
+        def at(i: Column) -> Column:
+            lo = F.greatest(i - back, F.lit(0))
+            hi = F.least(i + d, F.array_size(s) - 1)
+            return array_sum(F.slice(s, lo + 1, hi - lo + 1)) / width
+
+        return F.transform(F.sequence(F.lit(0), F.array_size(s) - 1), at)
+
+    return let(col(sig), lambda s: F.when(F.array_size(s) > 0, smooth(s)))
 
-    return F.transform(F.sequence(F.lit(0), F.array_size(s) - 1), at)
+
+def centred(sig: str | Column) -> Column:
+    """Samples minus their mean."""
+    return let(col(sig), lambda s: let(array_mean(s), lambda m: F.transform(s, lambda x: x - m)))
 
 
 def filter_width(fps: float) -> int:
@@ -72,19 +95,21 @@ def _bins(mag: Column, n: Column, fps: float, lo: float, hi: float, closed: bool
     """ARRAY<STRUCT(m, k)> of the bins inside a band; open bands skip Nyquist."""
 
     def inside(x: Column) -> Column:
-        f = x["k"] * F.lit(float(fps)) / n
+        f = x["k"] * F.lit(float(fps)) / x["n"]
         if closed:
             return (f >= lo) & (f <= hi)
-        return (f > lo) & (f < hi) & (x["k"] * 2 < n)
+        return (f > lo) & (f < hi) & (x["k"] * 2 < x["n"])
 
-    pairs = F.transform(mag, lambda m, k: F.struct(m.alias("m"), k.alias("k")))
+    pairs = let(
+        n, lambda t: F.transform(mag, lambda m, k: F.struct(m.alias("m"), k.alias("k"), t.alias("n")))
+    )
     return F.filter(pairs, inside)
 
 
 def _peak(bins: Column) -> Column:
     """STRUCT(m, k) of the strongest bin, the lowest one on a tie."""
     best = F.array_max(F.transform(bins, lambda x: F.struct(x["m"].alias("m"), (-x["k"]).alias("k"))))
-    return F.struct(best["m"].alias("m"), (-best["k"]).alias("k"))
+    return let(best, lambda b: F.struct(b["m"].alias("m"), (-b["k"]).alias("k")))
 
 
 def pairwise_sync(df: DataFrame, item: str, sig: str, fps: float = 30.0) -> DataFrame:
@@ -98,13 +123,7 @@ def pairwise_sync(df: DataFrame, item: str, sig: str, fps: float = 30.0) -> Data
     live = z.filter("_z IS NOT NULL").select(item, smooth_array("_z", filter_width(fps)).alias("_f"))
     length = live.groupBy(item).agg(F.min(F.array_size("_f")).alias("_t"), F.count(F.lit(1)).alias("valid"))
     cut = live.join(length, item).withColumn("_f", F.slice("_f", F.lit(1), F.col("_t")))
-    std = array_std(F.col("_f"))
-    unit = let(
-        F.struct(array_mean(F.col("_f")).alias("m"), std.alias("d")),
-        lambda st: F.when(st["d"] > 0.01, F.transform(F.col("_f"), lambda x: (x - st["m"]) / st["d"])),
-    )
-    rows = cut.select(item, unit.alias("_u")).filter("_u IS NOT NULL")
-    samples = rows.select(item, F.posexplode("_u").alias("_p", "_v"))
+    samples = cut.select(item, F.posexplode(unit_array("_f")).alias("_p", "_v"))
     at_t = samples.groupBy(item, "_p").agg(F.sum("_v").alias("_s"), F.count(F.lit(1)).alias("_c"))
     total = at_t.groupBy(item).agg(
         (F.sum(F.col("_s") * F.col("_s")) / F.count(F.lit(1))).alias("_q"), F.max("_c").alias("_live")
@@ -129,11 +148,7 @@ def channel_sync(df: DataFrame, item: str, channel: str, sig: str, fps: float =
     """
     z = df.select(item, channel, znorm_array(sig).alias("_z")).filter("_z IS NOT NULL")
     f = z.select(item, channel, smooth_array("_z", filter_width(fps)).alias("_f"))
-    unit = let(
-        F.struct(array_mean(F.col("_f")).alias("m"), array_std(F.col("_f")).alias("d")),
-        lambda st: F.when(st["d"] > 0.01, F.transform(F.col("_f"), lambda x: (x - st["m"]) / st["d"])),
-    )
-    rows = f.select(item, channel, unit.alias("_u"))
+    rows = f.select(item, channel, unit_array("_f").alias("_u"))
     count = rows.groupBy(item).agg(F.count(F.lit(1)).alias("_n"))
     sums = (
         rows.select(item, F.posexplode("_u").alias("_p", "_v"))
@@ -185,9 +200,7 @@ def heart_rates(df: DataFrame, item: str, channel: str, sig: str, fps: float = 3
 
 def band_strength(df: DataFrame, keys: list[str], sig: str, fps: float = 30.0) -> DataFrame:
     """Peak strength, quality and rate of the pulse band of each signal."""
-    s = F.col(sig)
-    flat = let(array_mean(s), lambda m: F.transform(s, lambda x: x - m))
-    d = df.withColumn("_d", F.when(F.array_size(s) >= MIN_SAMPLES, flat))
+    d = df.withColumn("_d", F.when(F.array_size(sig) >= MIN_SAMPLES, centred(sig)))
     m = with_spectrum(d, F.col("_d")).withColumn(
         "_b", _bins(F.col("mag"), F.array_size("_d"), fps, *HR_BAND, closed=True)
     )
@@ -210,8 +223,7 @@ def band_strength(df: DataFrame, keys: list[str], sig: str, fps: float = 30.0) -
 
 def speech_rhythm(df: DataFrame, keys: list[str], sig: str, fps: float = 30.0) -> DataFrame:
     """Speech-band share, variance and peak ratio of a lip movement signal."""
-    s = F.col(sig)
-    d = df.withColumn("_d", let(array_mean(s), lambda m: F.transform(s, lambda x: x - m)))
+    d = df.withColumn("_d", centred(sig))
     m = with_spectrum(d, F.when(F.array_size("_d") > 0, F.col("_d")))
     n = F.array_size("_d")
 
@@ -317,16 +329,20 @@ def harmonic_regularity(df: DataFrame, item: str, t: str, db: str) -> DataFrame:
     )
     # One array of N bins per item: bounded by the spectrogram's height.
     avg = mean.groupBy(item).agg(F.sort_array(F.collect_list(F.struct("_b", "_m"))).getField("_m").alias("_a"))
-    at = F.filter(
-        F.sequence(F.lit(1), F.array_size("_a") - 2),
-        lambda i: (F.get("_a", i) > F.get("_a", i - 1)) & (F.get("_a", i) > F.get("_a", i + 1)),
-    )
-    p = avg.withColumn("_p", F.when(F.array_size("_a") > 2, at).otherwise(F.array().cast("array<int>")))
-    gaps = F.transform(
-        F.slice("_p", F.lit(2), F.greatest(F.array_size("_p") - 1, F.lit(0))),
-        lambda x, i: (x - F.get("_p", i)).cast("double"),
-    )
-    g = p.withColumn("_g", gaps).join(frames, item)
+
+    def peaks(a: Column) -> Column:
+        at = F.filter(
+            F.sequence(F.lit(1), F.array_size(a) - 2),
+            lambda i: (F.get(a, i) > F.get(a, i - 1)) & (F.get(a, i) > F.get(a, i + 1)),
+        )
+        return F.when(F.array_size(a) > 2, at).otherwise(F.array().cast("array<int>"))
+
+    def gaps(p: Column) -> Column:
+        later = F.slice(p, F.lit(2), F.greatest(F.array_size(p) - 1, F.lit(0)))
+        return F.transform(later, lambda x, i: (x - F.get(p, i)).cast("double"))
+
+    p = avg.withColumn("_p", let(F.col("_a"), peaks))
+    g = p.withColumn("_g", let(F.col("_p"), gaps)).join(frames, item)
     reg = clip(1.0 - array_std(F.col("_g")) / (array_mean(F.col("_g")) + 1e-8))
     out = F.when((F.col("_n") < 2) | (F.array_size("_p") < 3), 0.5).otherwise(reg)
     return g.select(item, F.array_size("_p").alias("peaks"), out.alias("harmonic"))

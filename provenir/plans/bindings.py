@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bands import verdict_band
+from ..functions.exprs import let
 from ..functions.hashing import iso_ts
 from ..operators.fusion import audio_profile, core_columns, media_profile
 from ..operators.ordered import dense_index, second_cell
@@ -128,7 +129,7 @@ def spectrogram(spark: SparkSession, sf: str) -> DataFrame:
 
 def spectral_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Flatness, band shares, kurtosis and profile spread of each frame."""
-    from ..functions.exprs import array_mean, array_std, let
+    from ..functions.exprs import array_mean, array_std
     from ..operators.features import band_ratios, spectral_flatness
 
     f = _frames(spark, sf).withColumn("profile", F.transform("vec", lambda x: F.abs(x)))
@@ -184,9 +185,12 @@ def heat_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 def eyes(spark: SparkSession, sf: str) -> DataFrame:
     """Landmark points of each frame from consecutive value pairs."""
-    pts = F.transform(
-        F.sequence(F.lit(0), F.lit(31)),
-        lambda j: F.struct(F.get("vec", j * 2).alias("x"), F.get("vec", j * 2 + 1).alias("y")),
+    pts = let(
+        F.col("vec"),
+        lambda v: F.transform(
+            F.sequence(F.lit(0), F.lit(31)),
+            lambda j: F.struct(F.get(v, j * 2).alias("x"), F.get(v, j * 2 + 1).alias("y")),
+        ),
     )
     return _frames(spark, sf).select("item", "t", pts.alias("pts"))
 
