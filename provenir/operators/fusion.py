@@ -282,11 +282,11 @@ def transparency(df: DataFrame) -> DataFrame:
         F.col("verdict") == "MANIPULATED",
         concern.otherwise("Multiple weak signals indicate potential manipulation"),
     )
-    evidence = [
-        F.transform(f"{k}_anomalies", lambda a, t=k: F.concat(F.lit(f"[{t.upper()}] "), a))
-        for k in CORES
-        if f"{k}_anomalies" in df.columns
-    ]
+
+    def tagged(core: str) -> Column:
+        return F.transform(f"{core}_anomalies", lambda a: F.concat(F.lit(f"[{core.upper()}] "), a))
+
+    evidence = [tagged(k) for k in CORES if f"{k}_anomalies" in df.columns]
     d = df.withColumn("primary_concern", concern)
     summary = (
         F.when(F.col("verdict") == "AUTHENTIC", "All forensic checks passed. No manipulation indicators detected.")
@@ -391,8 +391,11 @@ def with_fallback(df: DataFrame, name: str, kind: str, required: Column) -> Data
     )
 
 
-def fuse_detectors(df: DataFrame, item: str) -> DataFrame:
-    """Confidence-weighted mean of the usable detector rows of each item."""
+def fuse_detectors(df: DataFrame, item: str, digits: int | None = 4) -> DataFrame:
+    """Confidence-weighted mean of the usable detector rows of each item.
+
+    ``digits`` rounds the reported score; None keeps it as computed.
+    """
     used = ~F.col("status").isin("SKIPPED", "ERROR")
     sc, cf = F.col("score"), F.col("confidence")
     g = df.groupBy(item).agg(
@@ -404,7 +407,8 @@ def fuse_detectors(df: DataFrame, item: str) -> DataFrame:
     total = F.when(F.col("_c") == 0, 1.0).otherwise(F.col("_c"))
     agg = F.when(F.col("usable") == 0, 0.5).otherwise(F.col("_sc") / total)
     return g.withColumn("_agg", agg).select(
-        item, "detectors_run", "usable", F.round("_agg", 4).alias("aggregate_score"),
+        item, "detectors_run", "usable",
+        (F.col("_agg") if digits is None else F.round("_agg", digits)).alias("aggregate_score"),
         verdict_band("_agg").alias("verdict"),
     )
 
