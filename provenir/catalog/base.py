@@ -118,7 +118,7 @@ def with_ctes(body: str, extra: dict[str, str] | None = None) -> str:
     order: list[str] = []
 
     def visit(sql: str, skip: str = "") -> None:
-        words = set(re.findall(r"\b[a-z_0-9]+\b", sql))
+        words = set(re.findall(r"\b(?:FROM|JOIN)\s+([a-z_0-9]+)", sql))
         for name in ctes:
             if name in words and name != skip and name not in order:
                 visit(ctes[name], name)

@@ -1 +1,409 @@
-"""Queries."""
+"""Series, signal, spectrogram, gaze and sampling queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import features as X
+from ..operators import fusion as U
+from ..operators import sampling as P
+from ..operators import series as S
+from ..operators import signals as G
+from ..plans import bindings as D
+from .base import query
+
+W = "(PARTITION BY item ORDER BY idx)"
+SER = {
+    "sd": f"""SELECT item, idx, score, score - lag(score) OVER {W} AS d,
+        CASE WHEN idx >= 4 THEN avg(score) OVER (PARTITION BY item ORDER BY idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END AS ma FROM fs""",
+    "st": f"SELECT *, (sign(d) <> sign(lag(d) OVER {W}))::INT AS turn, abs(ma - lag(ma) OVER {W}) AS dma FROM sd",
+    "sp": """SELECT item, count(*) AS n, avg(score) AS mean, stddev_pop(score) AS std,
+        CASE WHEN count(d) = 0 THEN 1.0 ELSE (1.0 - least(avg(abs(d)) * 3, 1.0)) * CASE WHEN max(abs(d)) > 0.3 THEN 0.7 ELSE 1.0 END END AS sm,
+        CASE WHEN count(d) - 1 <= 0 THEN 0.0 ELSE least(sum(turn) / (count(d) - 1) * stddev_pop(d) * 4, 1.0) END AS fl,
+        CASE WHEN count(dma) = 0 THEN 0.5 ELSE 1.0 - least(avg(dma) / 0.3, 1.0) END AS tr FROM st GROUP BY item""",
+    "ac0": "SELECT item, idx, score - avg(score) OVER (PARTITION BY item) AS x, count(*) OVER (PARTITION BY item) AS n, stddev_pop(score) OVER (PARTITION BY item) AS sdv FROM fs",
+    "ac1": "SELECT a.item, b.idx - a.idx AS lg, sum(a.x * b.x) AS r, max(a.n) AS n FROM ac0 a JOIN ac0 b ON a.item = b.item AND b.idx >= a.idx WHERE a.n >= 10 AND a.sdv >= 1e-8 GROUP BY 1, 2",
+    "ac2": "SELECT *, first_value(r) OVER (PARTITION BY item ORDER BY lg) AS r0, lag(r) OVER (PARTITION BY item ORDER BY lg) AS rp, lead(r) OVER (PARTITION BY item ORDER BY lg) AS rn FROM ac1",
+    "per": """SELECT i.item, coalesce(max(r / (r0 + 1e-10)), 0.0) AS periodicity FROM (SELECT DISTINCT item FROM fs) i LEFT JOIN
+        (SELECT * FROM ac2 WHERE lg >= 2 AND lg <= n - 2 AND r > rp AND r > rn AND r / (r0 + 1e-10) > 0.3) p ON i.item = p.item GROUP BY i.item""",
+}
+
+
+@query("smoothness", "SELECT item, sm AS smoothness FROM sp", "smoothness", extra=SER)
+def _(spark, sf):
+    return S.smoothness(D.frame_scores(spark, sf), "item", "idx", "score")
+
+
+@query("flicker", "SELECT item, fl AS flicker FROM sp", "flicker", extra=SER)
+def _(spark, sf):
+    return S.flicker(D.frame_scores(spark, sf), "item", "idx", "score")
+
+
+@query("trend_stability", "SELECT item, tr AS trend_stability FROM sp", "trend_stability", extra=SER)
+def _(spark, sf):
+    return S.trend_stability(D.frame_scores(spark, sf), "item", "idx", "score")
+
+
+@query("periodicity", "SELECT item, periodicity FROM per", "periodicity", 7, extra=SER)
+def _(spark, sf):
+    return S.periodicity(D.frame_scores(spark, sf), "item", "idx", "score")
+
+
+@query("temporal_consistency", """SELECT item, n AS num_frames, mean AS score_mean, std AS score_std, CASE WHEN n < 3 THEN 0.5 ELSE least(greatest(sm * 0.4 + (1.0 - fl) * 0.3 + tr * 0.3, 0.0), 1.0) END AS consistency,
+    ((sm < 0.4)::INT + (fl > 0.15)::INT + (tr < 0.3)::INT + (periodicity > 0.6)::INT)::BIGINT AS flags FROM sp JOIN per USING (item)""", "score_mean score_std consistency", extra=SER)
+def _(spark, sf):
+    t = S.temporal_consistency(D.frame_scores(spark, sf), "item", "idx", "score")
+    return t.select("item", "num_frames", "score_mean", "score_std", "consistency", F.array_size("anomalies").cast("bigint").alias("flags"))
+
+
+def _closure(src: str) -> dict[str, str]:
+    wo = "(PARTITION BY item ORDER BY idx)"
+
+    def box(a: int, b: int, n: int) -> str:
+        lo = f"{a} PRECEDING"
+        hi = "CURRENT ROW" if b == 0 else f"{b} FOLLOWING"
+        return f"sum(opening) OVER (PARTITION BY item ORDER BY idx ROWS BETWEEN {lo} AND {hi}) / {n}"
+
+    return {
+        "o0": f"SELECT item, idx, opening, count(*) OVER (PARTITION BY item) AS n FROM {src}",
+        "o1": f"SELECT item, idx, n, CASE least(5, n // 2) WHEN 2 THEN {box(1, 0, 2)} WHEN 3 THEN {box(1, 1, 3)} WHEN 4 THEN {box(2, 1, 4)} ELSE {box(2, 2, 5)} END AS s FROM o0 WHERE n >= 5",
+        "o2": f"SELECT *, lag(s) OVER {wo} AS p1, lag(s, 2) OVER {wo} AS p2, lead(s) OVER {wo} AS q1, lead(s, 2) OVER {wo} AS q2, max(s) OVER (PARTITION BY item ORDER BY idx ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS top FROM o1",
+        "clo": "SELECT item, idx AS frame, idx / 30 AS tm, s / (top + 1e-6) AS ratio FROM o2 WHERE s < p1 AND s < p2 AND s < q1 AND s < q2 AND s < top * 0.7",
+        "cg": "SELECT *, tm - lag(tm) OVER (PARTITION BY item ORDER BY frame) AS gap FROM clo",
+        "ch": "SELECT item, count(*) AS closures, avg(gap) AS mi, stddev_pop(gap) AS si, avg(CASE WHEN gap IS NOT NULL THEN (gap BETWEEN 0.3 AND 2.0)::INT END) AS nr FROM cg GROUP BY item",
+        "cw": """SELECT item, n_frames, coalesce(closures, 0) AS closures, nr, si / (mi + 1e-6) AS icv FROM (SELECT item, count(*) AS n_frames FROM o0 GROUP BY item) LEFT JOIN ch USING (item)""",
+        "pv": """SELECT *, CASE WHEN closures < 2 THEN 0.5 ELSE least(CASE WHEN nr < 0.5 THEN 0.35 ELSE 0.0 END + CASE WHEN icv < 0.2 AND closures - 1 > 3 THEN 0.25 ELSE 0.0 END
+            + CASE WHEN closures < n_frames / 30 * 0.3 THEN 0.3 ELSE 0.0 END, 1.0) END AS pv_score FROM cw""",
+    }
+
+
+@query("closure_events", "SELECT item, frame, tm AS time, ratio AS opening_ratio, 1.0 - ratio AS confidence, tm BETWEEN 0.3 AND 2.0 AS natural_range FROM clo", "time opening_ratio confidence", extra=_closure("opn"))
+def _(spark, sf):
+    return S.closure_events(D.openings(spark, sf), "item", "idx", "opening")
+
+
+@query("closure_rhythm", "SELECT item, n_frames, closures, nr AS natural_ratio, icv AS interval_cv, pv_score FROM pv", "natural_ratio interval_cv pv_score", extra=_closure("opn"))
+def _(spark, sf):
+    return S.closure_rhythm(D.openings(spark, sf), "item", "idx", "opening")
+
+
+BR = {
+    "b0": "SELECT item, frame, abs(brightness - lag(brightness) OVER (PARTITION BY item ORDER BY frame)) AS d FROM ff",
+    "b1": "SELECT item, count(*) AS n_frames, avg(brightness) AS bm, stddev_pop(brightness) AS bs, avg(compression) AS cm, stddev_pop(compression) AS cs FROM ff GROUP BY item",
+    "b2": "SELECT item, sum((d > bs * 2)::INT)::BIGINT AS jumps FROM b0 JOIN b1 USING (item) GROUP BY item",
+    "br": """SELECT *, 1.0 - least(cs / (cm + 1e-6), 1.0) AS cc, least(CASE WHEN jumps > n_frames * 0.1 THEN 0.4 ELSE 0.0 END + CASE WHEN cs > cm * 0.5 AND cm > 0 THEN 0.3 ELSE 0.0 END, 1.0) AS md FROM b1 JOIN b2 USING (item)""",
+}
+
+
+def metadata(spark, sf):
+    return S.brightness_jumps(D.frame_features(spark, sf), "item", "frame", "brightness", "compression")
+
+
+@query("brightness_jumps", "SELECT item, n_frames, bm AS brightness_mean, bs AS brightness_std, jumps, cc AS compression_consistency, md AS metadata_score FROM br",
+    "brightness_mean brightness_std compression_consistency metadata_score", 6, extra=BR)
+def _(spark, sf):
+    return metadata(spark, sf).select("item", "n_frames", "brightness_mean", "brightness_std", "jumps", "compression_consistency", "metadata_score")
+
+
+SEQ = {
+    "sq": "SELECT item, avg(changed) AS ad, stddev_pop(changed) AS sd FROM ff WHERE frame BETWEEN 1 AND 29 GROUP BY item",
+    "sqs": "SELECT *, CASE WHEN ad > 0.95 OR ad < 0.001 THEN 0.5 ELSE 1.0 END * CASE WHEN sd > 0.2 THEN 0.7 ELSE 1.0 END AS cs FROM sq",
+    "us": "SELECT item, count(DISTINCT height) = 1 AS same_shape, count(*) AS n_frames FROM ff GROUP BY item",
+    "cc": """SELECT item, count(*) AS checked, sum((gradient > 200)::INT)::BIGINT AS steep, sum((high_freq_share > 0.9)::INT)::BIGINT AS odd, sum((frame < 5 AND (max_val > 255 OR min_val < 0))::INT)::BIGINT AS oor,
+        sum((frame < 5 AND (mean_val < 5 OR mean_val > 250))::INT)::BIGINT AS flat FROM ff WHERE frame < 10 GROUP BY item""",
+    "ci": "SELECT *, 1.0 - steep / greatest(checked, 1) * 0.5 AS score FROM cc",
+}
+
+
+def sequence(spark, sf):
+    return S.sequence_consistency(D.frame_features(spark, sf), "item", "frame", "changed")
+
+
+@query("sequence_consistency", "SELECT item, ad AS avg_diff, sd AS std_diff, cs AS consistency_score, concat_ws('|', CASE WHEN ad > 0.95 THEN 'Extreme frame-to-frame changes detected' END, CASE WHEN ad < 0.001 THEN 'Frames appear nearly identical (possible loop)' END, CASE WHEN sd > 0.3 THEN 'Inconsistent frame changes (possible splicing)' END) AS warnings FROM sqs",
+    "avg_diff std_diff consistency_score", extra=SEQ)
+def _(spark, sf):
+    return sequence(spark, sf).withColumn("warnings", F.concat_ws("|", "warnings"))
+
+
+@query("uniform_shape", "SELECT item, same_shape FROM us", extra=SEQ)
+def _(spark, sf):
+    return X.uniform_shape(D.frame_features(spark, sf), "item", "height", "width")
+
+
+@query("content_checks", "SELECT item, checked, steep, odd AS odd_spectrum, oor AS out_of_range, flat AS flat_frames, score AS integrity_score FROM ci", "integrity_score", extra=SEQ)
+def _(spark, sf):
+    c = X.content_checks(D.frame_features(spark, sf), "item", "frame")
+    return c.select("item", "checked", "steep", "odd_spectrum", "out_of_range", "flat_frames", "integrity_score")
+
+
+@query("sanity_result", """SELECT item, n_frames, cs > 0.5 AND score > 0.6 AS is_valid, concat_ws('|', CASE WHEN cs > 0.5 THEN 'FRAME_SEQUENCE_VALID' END, CASE WHEN same_shape THEN 'RESOLUTION_CONSISTENT' END,
+    CASE WHEN score > 0.6 THEN 'NO_ADVERSARIAL_PATTERNS' END, 'CONTENT_INTEGRITY_OK') AS checks_passed, concat_ws('|', CASE WHEN cs <= 0.5 THEN 'FRAME_SEQUENCE_INVALID' END,
+    CASE WHEN NOT same_shape THEN 'RESOLUTION_MISMATCH' END, CASE WHEN score <= 0.6 THEN 'ADVERSARIAL_PATTERN_DETECTED' END) AS checks_failed,
+    CASE WHEN score <= 0.6 THEN 'Potential adversarial attack detected' WHEN cs <= 0.5 THEN 'Frame sequence appears corrupted or manipulated' END AS rejection_reason, same_shape AS quick_ok
+    FROM us JOIN sqs USING (item) JOIN ci USING (item)""", extra=SEQ)
+def _(spark, sf):
+    f = D.frame_features(spark, sf)
+    n = f.groupBy("item").agg(F.count(F.lit(1)).alias("n_frames"))
+    r = X.sanity_result(n, sequence(spark, sf), X.uniform_shape(f, "item", "height", "width"), X.content_checks(f, "item", "frame"), "item")
+    return r.select("item", "n_frames", "is_valid", F.concat_ws("|", "checks_passed").alias("checks_passed"), F.concat_ws("|", "checks_failed").alias("checks_failed"), "rejection_reason", "quick_ok")
+
+
+@query("moving_average", "SELECT item, idx, sum(score) OVER (PARTITION BY item ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) / 7 AS smoothed FROM fs", "smoothed")
+def _(spark, sf):
+    m = S.moving_average(D.frame_scores(spark, sf), ["item"], "idx", "score", G.filter_width(30.0))
+    return m.select("item", "idx", "smoothed")
+
+
+@query("znorm", """SELECT item, idx, n >= 30 AND s >= 1e-6 AS is_valid, CASE WHEN n < 30 THEN score WHEN s < 1e-6 THEN score - m ELSE (score - m) / s END AS z
+    FROM (SELECT *, count(*) OVER w AS n, avg(score) OVER w AS m, stddev_pop(score) OVER w AS s FROM fs WINDOW w AS (PARTITION BY item))""", "z")
+def _(spark, sf):
+    return S.znorm(D.frame_scores(spark, sf), ["item"], "score").select("item", "idx", "is_valid", "z")
+
+
+# --- region signals ----------------------------------------------------------------
+
+SIG = {
+    "z0": "SELECT label AS item, vec_id AS channel, pos, v, avg(v) OVER (PARTITION BY vec_id) AS m, stddev_pop(v) OVER (PARTITION BY vec_id) AS s FROM vals",
+    "z1": "SELECT item, channel, pos, sum((v - m) / s) OVER (PARTITION BY channel ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) / 7 AS f FROM z0 WHERE s >= 1e-6",
+    "ks": "SELECT unnest(range(33)) AS k",
+    "dft": "SELECT item, channel, k, sqrt(pow(sum(f * cos(2 * pi() * k * pos / 64)), 2) + pow(sum(f * sin(2 * pi() * k * pos / 64)), 2)) AS mag FROM z1 CROSS JOIN ks GROUP BY 1, 2, 3",
+    "bp0": "SELECT item, channel, max(mag) AS top, avg(mag) AS mean, arg_max(k, mag) AS k FROM dft WHERE k * 30 / 64 > 0.7 AND k * 30 / 64 < 4.0 AND k < 32 GROUP BY 1, 2",
+    "bp": "SELECT item, channel, top / (mean + 1e-6) AS strength, CASE WHEN top / (mean + 1e-6) > 1.5 THEN k * 30 / 64 * 60 END AS bpm FROM bp0",
+    "hr": "SELECT item, count(*) AS channels, count(bpm) AS pulses, avg(bpm) AS mb, CASE WHEN count(bpm) = 0 THEN 0.0 ELSE 1.0 - least(stddev_pop(bpm) / (avg(bpm) + 1e-6), 1.0) END AS hc, count(bpm) / count(*) AS cov FROM bp GROUP BY item",
+    "u0": "SELECT item, channel, pos, (f - avg(f) OVER (PARTITION BY channel)) / stddev_pop(f) OVER (PARTITION BY channel) AS u FROM z1",
+    "prs": "SELECT a.item, a.channel AS ca, b.channel AS cb, avg(a.u * b.u) AS r FROM u0 a JOIN u0 b ON a.item = b.item AND a.pos = b.pos AND a.channel <> b.channel GROUP BY 1, 2, 3",
+    "sy": "SELECT item, avg(r) AS sync FROM prs GROUP BY item",
+    "dz": "SELECT item, channel, k, sqrt(pow(sum((v - m) * cos(2 * pi() * k * pos / 64)), 2) + pow(sum((v - m) * sin(2 * pi() * k * pos / 64)), 2)) AS mag FROM z0 CROSS JOIN ks GROUP BY 1, 2, 3",
+    "bz": "SELECT item, channel, max(mag) FILTER (k * 30 / 64 >= 0.7 AND k * 30 / 64 <= 4.0) AS pk, arg_max(k, mag) FILTER (k * 30 / 64 >= 0.7 AND k * 30 / 64 <= 4.0) AS k, max(mag) AS top, sum(mag * mag) AS e FROM dz GROUP BY 1, 2",
+}
+
+
+@query("pairwise_sync", "SELECT item, channels, sync FROM sy JOIN (SELECT item, channels FROM hr) USING (item)", "sync", extra=SIG)
+def _(spark, sf):
+    return G.pairwise_sync(D.signals(spark, sf), "item", "sig").select("item", "channels", "sync")
+
+
+@query("channel_sync", "SELECT item, ca AS channel, avg(r) AS mean_corr FROM prs GROUP BY 1, 2", "mean_corr", extra=SIG)
+def _(spark, sf):
+    return G.channel_sync(D.signals(spark, sf), "item", "channel", "sig")
+
+
+@query("band_peak", "SELECT item, channel, strength, bpm FROM bp", "strength bpm", 7, extra=SIG)
+def _(spark, sf):
+    return G.band_peak(D.signals(spark, sf), "item", "channel", "sig")
+
+
+@query("heart_rates", "SELECT item, channels, pulses, mb AS mean_bpm, hc AS hr_consistency, cov AS pulse_coverage FROM hr", "mean_bpm hr_consistency pulse_coverage", 6, extra=SIG)
+def _(spark, sf):
+    return G.heart_rates(D.signals(spark, sf), "item", "channel", "sig").select("item", "channels", "pulses", "mean_bpm", "hr_consistency", "pulse_coverage")
+
+
+@query("band_strength", "SELECT item, channel, pk / (top + 1e-10) AS strength, least(pk * pk / (e + 1e-10) * 5, 1.0) AS quality, k * 30 / 64 * 60 AS bpm FROM bz", "strength quality bpm", 7, extra=SIG)
+def _(spark, sf):
+    return G.band_strength(D.signals(spark, sf), ["item", "channel"], "sig")
+
+
+@query("grid_summary", "SELECT item, avg(pk / (top + 1e-10)) AS mean_strength, avg(least(pk * pk / (e + 1e-10) * 5, 1.0)) AS mean_quality, avg((pk / (top + 1e-10) > 0.1)::INT) AS coverage FROM bz GROUP BY item", "mean_strength mean_quality coverage", 7, extra=SIG)
+def _(spark, sf):
+    return X.grid_summary(G.band_strength(D.signals(spark, sf), ["item", "channel"], "sig"), "item", "strength", "quality")
+
+
+@query("speech_rhythm", """SELECT item, channel, ratio AS speech_ratio, var AS movement_variance, pr AS peak_ratio, least(CASE WHEN ratio < 0.2 THEN 0.4 ELSE 0.0 END + CASE WHEN var < 10 THEN 0.3 ELSE 0.0 END + CASE WHEN pr > 10 THEN 0.3 ELSE 0.0 END, 1.0) AS av_score
+    FROM (SELECT item, channel, avg(mag) FILTER (k * 30 / 64 > 2.0 AND k * 30 / 64 < 8.0) / (avg(mag) FILTER (k BETWEEN 1 AND 31) + 1e-6) AS ratio, max(mag) FILTER (k BETWEEN 1 AND 31) / (avg(mag) FILTER (k BETWEEN 1 AND 31) + 1e-6) AS pr FROM dz GROUP BY 1, 2)
+    JOIN (SELECT vec_id AS channel, var_pop(v) AS var FROM vals GROUP BY 1) USING (channel)""", "speech_ratio movement_variance peak_ratio av_score", 7, extra=SIG)
+def _(spark, sf):
+    return G.speech_rhythm(D.signals(spark, sf), ["item", "channel"], "sig").drop("n_samples")
+
+
+def signal_profiles(spark, sf):
+    """Frame size of each signal item, from the number of its channels."""
+    n = D.signals(spark, sf).groupBy("item").agg(F.count(F.lit(1)).alias("_n"))
+    low = F.col("_n") % 2 == 0
+    return n.select("item", low.alias("is_low_res"), (F.col("_n") % 3 != 0).alias("rppg_viable"))
+
+
+@query("biosignal_result", """SELECT item, s AS score, CASE WHEN low THEN least(sync * 0.8, 0.6) ELSE least(0.4 + sync * 0.4 + cov * 0.2, 1.0) END AS confidence, CASE WHEN s > 0.6 THEN 'FAIL' WHEN s > 0.3 THEN 'WARN' ELSE 'PASS' END AS status,
+    CASE WHEN channels % 3 = 0 THEN 'INSUFFICIENT' WHEN low THEN 'LIMITED' ELSE 'GOOD' END AS data_quality FROM (SELECT *, channels % 2 = 0 AS low,
+    least(CASE WHEN sync < 0.3 THEN 0.4 WHEN sync < 0.5 THEN 0.2 ELSE 0.0 END + CASE WHEN cov < 0.3 THEN 0.3 WHEN cov < 0.5 THEN 0.15 ELSE 0.0 END + CASE WHEN hc < 0.5 THEN 0.2 ELSE 0.0 END + CASE WHEN mb < 50 OR mb > 120 THEN 0.1 ELSE 0.0 END, 1.0) AS s
+    FROM sy JOIN hr USING (item))""", "score confidence", 7, extra=SIG)
+def _(spark, sf):
+    r = G.biosignal_result(D.signals(spark, sf), "item", "channel", "sig", signal_profiles(spark, sf))
+    return r.select("item", "score", "confidence", "status", "data_quality")
+
+
+ALN = {
+    **_closure("(SELECT item, frame AS idx, brightness AS opening FROM ff)"), **BR,
+    "mv": "SELECT item, frame AS pos, brightness - avg(brightness) OVER (PARTITION BY item) AS f, count(*) OVER (PARTITION BY item) AS n FROM ff",
+    "mk2": "SELECT item, n, unnest(range(1, (n + 1) // 2)) AS k FROM (SELECT DISTINCT item, n FROM mv)",
+    "md2": "SELECT mv.item, mk2.n, k, sqrt(pow(sum(f * cos(2 * pi() * ((k * pos) % mk2.n) / mk2.n)), 2) + pow(sum(f * sin(2 * pi() * ((k * pos) % mk2.n) / mk2.n)), 2)) AS mag FROM mv JOIN mk2 ON mv.item = mk2.item GROUP BY 1, 2, 3",
+    "ms": """SELECT item, avg(mag) FILTER (k * 30 / n > 2.0 AND k * 30 / n < 8.0) / (avg(mag) + 1e-6) AS ratio, max(mag) FILTER (k < n // 2) / (avg(mag) FILTER (k < n // 2) + 1e-6) AS pr FROM md2 GROUP BY item""",
+    "mvv": "SELECT item, var_pop(brightness) AS var FROM ff GROUP BY item",
+    "av": "SELECT item, CASE WHEN ratio < 0.2 THEN 0.4 ELSE 0.0 END + CASE WHEN var < 10 THEN 0.3 ELSE 0.0 END + CASE WHEN pr > 10 THEN 0.3 ELSE 0.0 END AS av_score FROM ms JOIN mvv USING (item)",
+}
+
+
+@query("alignment_result", """SELECT item, n_frames, av_score, pv_score, md AS metadata_score, s AS score, CASE WHEN n_frames >= 30 THEN 0.6 ELSE 0.4 END AS confidence, CASE WHEN s > 0.6 THEN 'FAIL' WHEN s > 0.3 THEN 'WARN' ELSE 'PASS' END AS status
+    FROM (SELECT item, br.n_frames, av_score, pv_score, md, least(av_score * 0.4 + pv_score * 0.35 + md * 0.25, 1.0) AS s FROM br JOIN av USING (item) JOIN (SELECT item, pv_score FROM pv) USING (item))""",
+    "av_score pv_score metadata_score score confidence", extra=ALN)
+def _(spark, sf):
+    f = D.frame_features(spark, sf).select("item", "frame", "brightness", "compression")
+    # Frames are daily aggregates, so an item's signal is bounded by its days.
+    sig = f.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("frame", "brightness"))).getField("brightness").alias("sig"))
+    rhythm = G.speech_rhythm(sig, ["item"], "sig")
+    closures = S.closure_rhythm(f, "item", "frame", "brightness")
+    r = U.alignment_result(rhythm, closures, metadata(spark, sf), "item")
+    return r.select("item", "n_frames", "av_score", "pv_score", "metadata_score", "score", "confidence", "status")
+
+
+# --- spectrogram -----------------------------------------------------------------
+
+SPG = {
+    "sg": "SELECT item, t, pos, 20 * log10(abs(v) + 1e-10) AS db FROM fv",
+    "nf": "SELECT item, count(DISTINCT t) AS frames FROM sg GROUP BY item",
+    "ms0": "SELECT item, pos, avg(db) AS m FROM sg GROUP BY 1, 2",
+    "mp": "SELECT *, lag(m) OVER (PARTITION BY item ORDER BY pos) AS a, lead(m) OVER (PARTITION BY item ORDER BY pos) AS b FROM ms0",
+    "pk": "SELECT item, pos - lag(pos) OVER (PARTITION BY item ORDER BY pos) AS gap FROM mp WHERE m > a AND m > b",
+    "hm": "SELECT item, count(*) AS peaks, CASE WHEN count(*) < 3 THEN 0.5 ELSE least(greatest(1.0 - stddev_pop(gap) / (avg(gap) + 1e-8), 0.0), 1.0) END AS harmonic FROM pk GROUP BY item",
+    "dd": "SELECT item, abs(db - lag(db) OVER (PARTITION BY item, pos ORDER BY t)) AS d FROM sg",
+    "ct": "SELECT item, least(greatest(1.0 - max(d) / (avg(d) + 1e-8) / 20, 0.0), 1.0) AS continuity FROM dd GROUP BY item",
+    "tp": "SELECT item, t, pos, row_number() OVER (PARTITION BY item, t ORDER BY db DESC) AS r FROM sg",
+    "tk": "SELECT item, t, pos, row_number() OVER (PARTITION BY item, t ORDER BY pos) AS track FROM tp WHERE r <= 3",
+    "td": "SELECT item, track, abs(pos - lag(pos) OVER (PARTITION BY item, track ORDER BY t)) AS d FROM tk",
+    "fm": "SELECT item, avg(s) AS formants FROM (SELECT item, track, greatest(1.0 - avg(d) / 32, 0.0) AS s FROM td GROUP BY 1, 2) GROUP BY item",
+    "sr": "SELECT *, least(greatest(1.0 - (harmonic * 0.35 + continuity * 0.35 + formants * 0.3), 0.0), 1.0) AS score, (harmonic < 0.4)::INT + (continuity < 0.3)::INT + (formants < 0.5)::INT AS fl FROM hm JOIN ct USING (item) JOIN fm USING (item)",
+}
+
+
+@query("harmonic_regularity", "SELECT item, peaks, harmonic FROM hm", "harmonic", extra=SPG)
+def _(spark, sf):
+    h = G.harmonic_regularity(D.spectrogram(spark, sf), "item", "t", "db")
+    return h.withColumn("peaks", F.col("peaks").cast("bigint"))
+
+
+@query("spectral_continuity", "SELECT item, frames, continuity FROM ct JOIN nf USING (item)", "continuity", extra=SPG)
+def _(spark, sf):
+    return G.spectral_steps(D.spectrogram(spark, sf), "item", "t", "db", 64).select("item", "frames", "continuity")
+
+
+@query("formant_stability", "SELECT item, formants FROM fm", "formants", extra=SPG)
+def _(spark, sf):
+    return G.spectral_steps(D.spectrogram(spark, sf), "item", "t", "db", 64).select("item", "formants")
+
+
+@query("spectrogram_result", "SELECT item, harmonic, continuity, formants, score, fl::BIGINT AS flags, least(0.4 + abs(score - 0.5) * 0.6 + fl * 0.1, 1.0) AS confidence FROM sr", "harmonic continuity formants score confidence", extra=SPG)
+def _(spark, sf):
+    r = G.spectrogram_result(D.spectrogram(spark, sf), "item", "t", "db", 64)
+    return r.select("item", "harmonic", "continuity", "formants", "score", F.array_size("anomalies").cast("bigint").alias("flags"), "confidence")
+
+
+# --- eyes --------------------------------------------------------------------------
+
+
+def _d(a: int, b: int) -> str:
+    return f"sqrt(pow(e[{2 * a + 1}] - e[{2 * b + 1}], 2) + pow(e[{2 * a + 2}] - e[{2 * b + 2}], 2))"
+
+
+def _ear(o: int) -> str:
+    return f"CASE WHEN {_d(o, o + 3)} < 1e-6 THEN 0.0 ELSE ({_d(o + 1, o + 5)} + {_d(o + 2, o + 4)}) / (2 * {_d(o, o + 3)}) END"
+
+
+def _iris(first: int, point: int) -> str:
+    x = " + ".join(f"e[{2 * j + 1}]" for j in range(first, first + 5))
+    y = " + ".join(f"e[{2 * j + 2}]" for j in range(first, first + 5))
+    return f"sqrt(pow(({x}) / 5 - e[{2 * point + 1}], 2) + pow(({y}) / 5 - e[{2 * point + 2}], 2))"
+
+
+EYE = {
+    "ev": "SELECT label::BIGINT AS item, t, list_transform(embedding, lambda z: z::DOUBLE) AS e FROM embeddings JOIN frm USING (vec_id)",
+    "ey": f"""SELECT item, t, {_ear(0)} AS le, {_ear(6)} AS re, least(({_iris(12, 0)} / {_d(3, 0)} + {_iris(17, 6)} / {_d(9, 6)}) / 2, 1.0) AS h,
+        least({_iris(12, 22)} / {_d(22, 23)}, 1.0) AS v FROM ev""",
+    "eb": "SELECT *, (le + re) / 2 < 0.21 AS c, lag((le + re) / 2 < 0.21, 1, false) OVER w AS c1, lag((le + re) / 2 < 0.21, 2, false) OVER w AS c2 FROM ey WINDOW w AS (PARTITION BY item ORDER BY t)",
+    "bl": "SELECT item, count(*) AS n, sum((c AND c1 AND NOT c2)::INT)::BIGINT AS blinks, greatest(corr(le, re), 0.0) AS sym, count(*) / 30 AS dur FROM eb GROUP BY item",
+    "gv": "SELECT *, sqrt(pow(h - lag(h) OVER w, 2) + pow(v - lag(v) OVER w, 2)) * 30 AS vel FROM ey WINDOW w AS (PARTITION BY item ORDER BY t)",
+    "gz": """SELECT item, count(*) AS n, avg(vel) AS mv, stddev_pop(vel) AS sv, least(greatest(1.0 - (stddev_pop(h) + stddev_pop(v)) * 2, 0.0), 1.0) AS stab,
+        CASE WHEN stddev_pop(vel) < 0.01 AND avg(vel) > 0.1 THEN 0.3 WHEN avg(vel) > 5 THEN 0.2 ELSE least(greatest(1.0 - avg(vel) * 0.1, 0.3), 1.0) END AS sacc FROM gv GROUP BY item""",
+    "gp": """SELECT item, bl.n, blinks / dur * 60 AS rate, dur, sym, stab, sacc FROM bl JOIN gz USING (item)""",
+    "gq": """SELECT *, CASE WHEN rate < 10 AND dur > 3 THEN least((10 - rate) / 10, 1.0) WHEN rate > 50 THEN 0.6 END AS c1, CASE WHEN sym < 0.6 THEN (1.0 - sym) * 0.8 END AS c2,
+        CASE WHEN stab < 0.4 THEN (1.0 - stab) * 0.6 END AS c3, CASE WHEN sacc < 0.5 THEN (1.0 - sacc) * 0.7 END AS c4 FROM gp""",
+}
+
+
+@query("eye_aspect_ratio", "SELECT item, t, 'left' AS side, le AS ear FROM ey UNION ALL SELECT item, t, 'right', re FROM ey", "ear", 7, extra=EYE)
+def _(spark, sf):
+    return X.ear_rows(D.eye_points(spark, sf), ["item", "t", "side"], "p", "x", "y")
+
+
+@query("gaze_ratio", "SELECT item, t, h AS gaze_h, v AS gaze_v FROM ey", "gaze_h gaze_v", 7, extra=EYE)
+def _(spark, sf):
+    return D.eye_features(spark, sf).select("item", "t", "gaze_h", "gaze_v")
+
+
+def blinks(spark, sf):
+    return S.blink_runs(D.eye_features(spark, sf), "item", "t", "left_ear", "right_ear")
+
+
+def gaze(spark, sf):
+    return S.gaze_dynamics(D.eye_features(spark, sf), "item", "t", "gaze_h", "gaze_v")
+
+
+@query("blink_runs", "SELECT item, n AS n_frames, blinks AS blink_count, sym AS blink_symmetry, dur AS duration_sec, blinks / dur * 60 AS blink_rate FROM bl", "blink_symmetry duration_sec blink_rate", 7, extra=EYE)
+def _(spark, sf):
+    return blinks(spark, sf)
+
+
+@query("gaze_dynamics", "SELECT item, n AS gaze_points, mv AS mean_velocity, sv AS std_velocity, stab AS gaze_stability, sacc AS saccade_score FROM gz", "mean_velocity std_velocity gaze_stability saccade_score", 7, extra=EYE)
+def _(spark, sf):
+    return gaze(spark, sf)
+
+
+@query("gaze_result", """SELECT item, coalesce((coalesce(c1, 0) + coalesce(c2, 0) + coalesce(c3, 0) + coalesce(c4, 0)) / nullif((c1 IS NOT NULL)::INT + (c2 IS NOT NULL)::INT + (c3 IS NOT NULL)::INT + (c4 IS NOT NULL)::INT, 0), 0.1) AS score,
+    1.0 AS confidence, rate AS blink_rate, ((c1 IS NOT NULL)::INT + (c2 IS NOT NULL)::INT + (c3 IS NOT NULL)::INT + (c4 IS NOT NULL)::INT)::BIGINT AS flags FROM gq""", "score confidence blink_rate", 7, extra=EYE)
+def _(spark, sf):
+    faces = D.eye_features(spark, sf).groupBy("item").agg(F.count(F.lit(1)).alias("total_frames"), F.count("left_ear").alias("frames_with_face"))
+    r = X.gaze_result(blinks(spark, sf), gaze(spark, sf), "item", faces)
+    return r.select("item", "score", "confidence", "blink_rate", F.array_size("anomalies").cast("bigint").alias("flags"))
+
+
+# --- sampling ----------------------------------------------------------------------
+
+
+@query("sample_stride", "SELECT item, idx FROM (SELECT item, idx, greatest(1, count(*) OVER (PARTITION BY item) // 60) AS st FROM fs) WHERE idx % st = 0 AND idx // st < 60")
+def _(spark, sf):
+    return P.sample_stride(D.frame_scores(spark, sf), "item", "idx", 60).select("item", "idx")
+
+
+@query("sample_even", "SELECT DISTINCT fs.item, fs.idx FROM fs JOIN (SELECT item, n, unnest(CASE WHEN n > 10 THEN range(10) ELSE range(n) END) AS j FROM (SELECT item, count(*) AS n FROM fs GROUP BY item)) g ON fs.item = g.item AND fs.idx = CASE WHEN n > 10 THEN CASE WHEN j = 9 THEN n - 1 ELSE floor(j * ((n - 1) / 9)) END ELSE j END")
+def _(spark, sf):
+    return P.sample_even(D.frame_scores(spark, sf), "item", "idx", 10).select("item", "idx")
+
+
+@query("sample_seconds", "SELECT item, idx FROM fs WHERE idx % greatest(1, (24.0 * 0.5)::INT) = 0")
+def _(spark, sf):
+    return P.sample_seconds(D.frame_scores(spark, sf), "idx", F.lit(24.0), 0.5).select("item", "idx")
+
+
+@query("sample_every", "SELECT item, idx FROM fs WHERE idx % 10 = 0")
+def _(spark, sf):
+    return P.sample_every(D.frame_scores(spark, sf), "idx", 10).select("item", "idx")
+
+
+@query("sample_head", "SELECT item, idx FROM fs WHERE idx < 5")
+def _(spark, sf):
+    return P.sample_head(D.frame_scores(spark, sf), "item", "idx", 5).select("item", "idx")
+
+
+@query("sample_ends", "SELECT item, idx FROM (SELECT item, idx, count(*) OVER (PARTITION BY item) AS n FROM fs) WHERE idx IN (0, n // 2, n - 1)")
+def _(spark, sf):
+    return P.sample_ends(D.frame_scores(spark, sf), "item", "idx").select("item", "idx")
+
+
+@query("retain_last", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 10000")
+def _(spark, sf):
+    e = D.events(spark, sf).select("event_id", "event_type", "ts")
+    return P.retain_last(e, [F.col("ts").desc(), F.col("event_id").desc()]).select("event_id", "event_type")
+
+
+@query("balanced_cap", "SELECT label, name FROM (SELECT quality AS label, 'doc_' || lpad(doc_id::VARCHAR, 9, '0') AS name, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS r FROM labels) WHERE r <= 50")
+def _(spark, sf):
+    l = D.table(spark, sf, "labels").select(F.col("quality").alias("label"), F.concat(F.lit("doc_"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("name"))
+    return P.balanced_cap(l, "label", [F.col("name")], 100)
