@@ -152,7 +152,7 @@ def query(
         QUERIES[name] = run
         if sql is not None:
             # Decimal literals become DOUBLE, the type the engine computes in.
-            inner = re.sub(r"(?<![\w'.])(\d+\.\d+)(?![\w.'])", r"\1e0", with_ctes(sql, extra))
+            inner = re.sub(r"(?<![\w'\".])(\d+\.\d+)(?![\w.'\"])", r"\1e0", with_ctes(sql, extra))
             rounds = ", ".join(f"round({c}::DOUBLE + {shift:e}, {digits}) + 0.0::DOUBLE AS {c}" for c in doubles.split())
             ORACLES[name] = f"SELECT * REPLACE ({rounds}) FROM ({inner}) q" if rounds else inner
         return fn

@@ -1 +1,81 @@
-"""Queries."""
+"""Streaming queries. Each runs a stream over the table's files to its end."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.stores import REQUEST_BUCKETS
+from ..plans.text_scan import text_scan
+from ..session import scratch_dir
+from ..streaming import jobs as J
+from .base import query
+from .text import SCAN_SQL, scan_view
+
+
+def stream(spark, sf):
+    e = J.read_table_stream(spark, f"{sf}/events.parquet")
+    return e.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("latest_per_key", "SELECT user_id, max(ts) AS last_ts, arg_max(event_type, ts) AS event_type, arg_max(value, ts) AS value FROM events GROUP BY 1", "value", 4)
+def _(spark, sf):
+    agg = J.latest_per_key(stream(spark, sf), "user_id", "ts", ["event_type", "value"])
+    r = J.run_update(agg, ["user_id"], "latest")
+    return r.withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
+
+
+@query("rate_limit", "SELECT event_type, date_trunc('minute', ts) AS minute, count(*) AS requests, count(*) > 10 AS limited FROM events GROUP BY 1, 2")
+def _(spark, sf):
+    r = J.run_update(J.rate_limit(stream(spark, sf), "event_type", "ts"), ["event_type", "minute"], "rate")
+    return r.withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+
+
+@query("live_counters", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def _(spark, sf):
+    return J.run_update(J.live_counters(stream(spark, sf), ["event_type"]), ["event_type"], "counters")
+
+
+@query("live_histogram", "SELECT event_type, count(*) AS n, sum(value) AS total, " + ", ".join(f"sum((value <= {b})::INT)::BIGINT AS le_{i}" for i, b in enumerate(REQUEST_BUCKETS)) + " FROM events GROUP BY 1", "total", 4)
+def _(spark, sf):
+    return J.run_update(J.live_histogram(stream(spark, sf), ["event_type"], "value", REQUEST_BUCKETS), ["event_type"], "hist")
+
+
+@query("task_state", "SELECT user_id, max(ts) AS last_ts, CASE arg_max(event_type, ts) WHEN 'signup' THEN 'STARTED' WHEN 'purchase' THEN 'SUCCESS' ELSE 'PROCESSING' END AS state, arg_max(event_type, ts) AS stage FROM events GROUP BY 1")
+def _(spark, sf):
+    state = F.when(F.col("event_type") == "signup", "STARTED").when(F.col("event_type") == "purchase", "SUCCESS").otherwise("PROCESSING")
+    r = J.run_update(J.task_state(stream(spark, sf), "user_id", "ts", state, F.col("event_type")), ["user_id"], "state")
+    return r.withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
+
+
+@query("audit_stream", "SELECT strftime(ts, '%Y%m%d') AS day, 'auth.' || event_type AS event, count(*) AS n FROM events GROUP BY 1, 2")
+def _(spark, sf):
+    base = scratch_dir(spark, "audit-stream")
+    entries = J.audit_entries(stream(spark, sf), "ts", F.concat(F.lit("auth."), "event_type"), ["user_id"])
+    J.audit_stream(entries, f"{base}/log", f"{base}/cp").awaitTermination()
+    r = spark.read.schema("timestamp string, event string, user_id bigint, day string").json(f"{base}/log")
+    return r.groupBy("day", "event").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("watch_files", SCAN_SQL.format(id="doc_id"), "score confidence")
+def _(spark, sf):
+    base = scratch_dir(spark, "watch")
+    scan = lambda df: text_scan(df.select("doc_id", "text"))
+    J.watch_files(spark, f"{sf}/documents.parquet", scan, f"{base}/out", f"{base}/cp").awaitTermination()
+    return scan_view(spark.read.parquet(f"{base}/out"), "doc_id")
+
+
+@query("stream_changes", "SELECT DISTINCT user_id, event_type FROM events")
+def _(spark, sf):
+    base = scratch_dir(spark, "changes")
+    J.append_stream(J.new_versions(stream(spark, sf), "user_id", "event_type", "ts"), f"{base}/out", f"{base}/cp").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("user_id", "event_type").distinct()
+
+
+@query("split_failures", "SELECT CASE WHEN value < 1 THEN 'dead_letter' ELSE 'result' END AS route, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _(spark, sf):
+    base = scratch_dir(spark, "failures")
+    error = F.when(F.col("value") < 1, "E_EMPTY")
+    J.split_failures(stream(spark, sf), error, f"{base}/good", f"{base}/dead", f"{base}/cp").awaitTermination()
+    good = spark.read.parquet(f"{base}/good").select(F.lit("result").alias("route"), "event_type")
+    dead = spark.read.parquet(f"{base}/dead").select(F.col("status").alias("route"), "event_type")
+    return good.unionByName(dead).groupBy("route", "event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -221,13 +221,13 @@ def histogram(df: DataFrame, dims: list[str], v: str, buckets: tuple[float, ...]
 
 def active_at(df: DataFrame, start: str, end: str) -> DataFrame:
     """Items started and not finished, at every instant that changes it."""
-    ticks = df.select(F.col(start).alias("at"), F.lit(1).alias("_d")).unionByName(
-        df.filter(F.col(end).isNotNull()).select(F.col(end).alias("at"), F.lit(-1).alias("_d"))
+    ticks = df.select(F.col(start).alias("instant"), F.lit(1).alias("_d")).unionByName(
+        df.filter(F.col(end).isNotNull()).select(F.col(end).alias("instant"), F.lit(-1).alias("_d"))
     )
-    net = ticks.groupBy("at").agg(F.sum("_d").alias("_d"))
-    cell = F.unix_seconds(F.col("at").cast("timestamp"))
-    run = prefix_sums(net, [], cell, [F.col("at")], {"active": F.col("_d")}, 1)
-    return run.select("at", "active")
+    net = ticks.groupBy("instant").agg(F.sum("_d").alias("_d"))
+    cell = F.unix_seconds(F.col("instant").cast("timestamp"))
+    run = prefix_sums(net, [], cell, [F.col("instant")], {"active": F.col("_d")}, 1)
+    return run.select("instant", "active")
 
 
 # --- dimensions ---------------------------------------------------------------------

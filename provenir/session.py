@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: str | None = None
 
@@ -39,3 +39,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
             _LOCAL_SCRATCH = tempfile.mkdtemp(prefix="provenir-")
         root = _LOCAL_SCRATCH
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    For an expensive result that several branches of one plan consume: the
+    work is done once, survives lost executors and cuts the lineage.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -23,7 +23,8 @@ WATERMARK = "10 minutes"
 def read_table_stream(spark: SparkSession, path: str) -> DataFrame:
     """Stream the files of a Parquet table."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path)
+    # A pattern accepts both a folder of files and a table of a single file.
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
