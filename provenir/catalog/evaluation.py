@@ -8,11 +8,13 @@ from ..operators import calibration as C
 from ..operators import evaluation as E
 from ..operators.ordered import log_cell
 from ..plans import bindings as D
+from ..session import materialize
 from .base import query
 
 
 def scored(spark, sf):
-    return D.labelled_scores(spark, sf)
+    """Labelled text scores, stored once: every curve reads them repeatedly."""
+    return materialize(D.labelled_scores(spark, sf), "labelled-scores")
 
 
 # Frame scores with a label that depends on the event type: many distinct scores.
@@ -39,7 +41,7 @@ def dataset(spark, sf):
 def _(spark, sf):
     from ..plans.text_scan import text_scan
 
-    t = text_scan(D.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.col("score").alias("s_full"))
+    t = text_scan(D.spread(D.table(spark, sf, "documents").select("doc_id", "text"))).select("doc_id", F.col("score").alias("s_full"))
     lab = D.table(spark, sf, "labels").select("doc_id", (1 - F.col("quality")).alias("y"), "toxic")
     return E.labelled(t, lab, "doc_id").select("doc_id", "y", "toxic", "s_full")
 
@@ -175,7 +177,12 @@ def _(spark, sf):
     return C.temperature_fit(dataset(spark, sf), "ds", "s", "y")
 
 
-@query("platt_fit")
+PLATT = """WITH RECURSIVE fyy AS (SELECT event_type AS ds, round(least(value / 500, 1.0), 4) AS s, (value + user_id > 90)::INT AS y FROM events), hh AS MATERIALIZED (SELECT ds, s, sum(y) / count(*) AS r, count(*) / t AS w FROM (SELECT *, count(*) OVER (PARTITION BY ds) AS t FROM fyy) GROUP BY ds, s, t),
+    g(ds, k, a, b) AS (SELECT DISTINCT ds, 0, -1.0::DOUBLE, 0.0::DOUBLE FROM hh UNION ALL SELECT ds, k + 1, a - 0.01 * sum(e * s * w), b - 0.01 * sum(e * w) FROM
+    (SELECT g.ds, k, a, b, s, w, least(greatest(1 / (1 + exp(-(a * s + b))), 1e-7), 1 - 1e-7) - r AS e FROM g JOIN hh ON g.ds = hh.ds WHERE k < 1000) GROUP BY ds, k, a, b) SELECT ds, a, b FROM g WHERE k = 1000"""
+
+
+@query("platt_fit", PLATT, "a b", 7)
 def _(spark, sf):
     return C.platt_fit(dataset(spark, sf), "ds", "s", "y")
 

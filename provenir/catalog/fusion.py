@@ -362,14 +362,14 @@ def _(spark, sf):
 
 @query("unified_scan", f"SELECT doc_id, 1::BIGINT AS detectors_run, score AS aggregate_score, {BAND.format('score')} AS verdict FROM ts", "aggregate_score", 4)
 def _(spark, sf):
-    docs = D.table(spark, sf, "documents").select("doc_id", "text")
+    docs = D.spread(D.table(spark, sf, "documents").select("doc_id", "text"))
     _, f = scan(docs, registry(), "text_content", "doc_id")
     return f.select("doc_id", "detectors_run", "aggregate_score", "verdict")
 
 
 @query("result_rows", "SELECT doc_id, 'Text Detector' AS detector_name, score, confidence, CASE WHEN NOT ok THEN 'WARN' WHEN score > 0.65 THEN 'FAIL' WHEN score > 0.35 THEN 'WARN' ELSE 'PASS' END AS status, n_words::VARCHAR AS words FROM ts", "score confidence", 4)
 def _(spark, sf):
-    r = text_detector().detect(D.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    r = text_detector().detect(D.spread(D.table(spark, sf, "documents").select("doc_id", "text")), "doc_id")
     s = r.select("doc_id", result_struct().alias("r"))
     return s.select("doc_id", "r.detector_name", "r.score", "r.confidence", "r.status", F.col("r.details")["word_count"].alias("words"))
 

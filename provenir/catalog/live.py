@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.hashing import iso_ts
 from ..operators.stores import REQUEST_BUCKETS
 from ..plans.text_scan import text_scan
 from ..session import scratch_dir
@@ -17,17 +18,17 @@ def stream(spark, sf):
     return e.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("latest_per_key", "SELECT user_id, max(ts) AS last_ts, arg_max(event_type, ts) AS event_type, arg_max(value, ts) AS value FROM events GROUP BY 1", "value", 4)
+@query("latest_per_key", "SELECT user_id, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%f') AS last_ts, arg_max(event_type, ts) AS event_type, arg_max(value, ts) AS value FROM events GROUP BY 1", "value", 4)
 def _(spark, sf):
     agg = J.latest_per_key(stream(spark, sf), "user_id", "ts", ["event_type", "value"])
     r = J.run_update(agg, ["user_id"], "latest")
-    return r.withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
+    return r.withColumn("last_ts", iso_ts("last_ts"))
 
 
-@query("rate_limit", "SELECT event_type, date_trunc('minute', ts) AS minute, count(*) AS requests, count(*) > 10 AS limited FROM events GROUP BY 1, 2")
+@query("rate_limit", "SELECT event_type, strftime(date_trunc('minute', ts), '%Y-%m-%dT%H:%M:%S.%f') AS minute, count(*) AS requests, count(*) > 10 AS limited FROM events GROUP BY 1, 2")
 def _(spark, sf):
     r = J.run_update(J.rate_limit(stream(spark, sf), "event_type", "ts"), ["event_type", "minute"], "rate")
-    return r.withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+    return r.withColumn("minute", iso_ts("minute"))
 
 
 @query("live_counters", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
@@ -40,11 +41,11 @@ def _(spark, sf):
     return J.run_update(J.live_histogram(stream(spark, sf), ["event_type"], "value", REQUEST_BUCKETS), ["event_type"], "hist")
 
 
-@query("task_state", "SELECT user_id, max(ts) AS last_ts, CASE arg_max(event_type, ts) WHEN 'signup' THEN 'STARTED' WHEN 'purchase' THEN 'SUCCESS' ELSE 'PROCESSING' END AS state, arg_max(event_type, ts) AS stage FROM events GROUP BY 1")
+@query("task_state", "SELECT user_id, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%f') AS last_ts, CASE arg_max(event_type, ts) WHEN 'signup' THEN 'STARTED' WHEN 'purchase' THEN 'SUCCESS' ELSE 'PROCESSING' END AS state, arg_max(event_type, ts) AS stage FROM events GROUP BY 1")
 def _(spark, sf):
     state = F.when(F.col("event_type") == "signup", "STARTED").when(F.col("event_type") == "purchase", "SUCCESS").otherwise("PROCESSING")
     r = J.run_update(J.task_state(stream(spark, sf), "user_id", "ts", state, F.col("event_type")), ["user_id"], "state")
-    return r.withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
+    return r.withColumn("last_ts", iso_ts("last_ts"))
 
 
 @query("audit_stream", "SELECT strftime(ts, '%Y%m%d') AS day, 'auth.' || event_type AS event, count(*) AS n FROM events GROUP BY 1, 2")

@@ -10,6 +10,7 @@ from ..operators import sampling as P
 from ..operators import series as S
 from ..operators import signals as G
 from ..plans import bindings as D
+from ..session import materialize
 from .base import query
 
 W = "(PARTITION BY item ORDER BY idx)"
@@ -29,6 +30,15 @@ SER = {
 }
 
 
+def stored_scores(spark, sf):
+    """Frame scores with their positions, stored once for several passes."""
+    return materialize(D.frame_scores(spark, sf), "frame-scores")
+
+
+def stored_frames(spark, sf):
+    return materialize(D.frame_features(spark, sf), "frame-features")
+
+
 @query("smoothness", "SELECT item, sm AS smoothness FROM sp", "smoothness", extra=SER)
 def _(spark, sf):
     return S.smoothness(D.frame_scores(spark, sf), "item", "idx", "score")
@@ -46,13 +56,13 @@ def _(spark, sf):
 
 @query("periodicity", "SELECT item, periodicity FROM per", "periodicity", 7, extra=SER)
 def _(spark, sf):
-    return S.periodicity(D.frame_scores(spark, sf), "item", "idx", "score")
+    return S.periodicity(stored_scores(spark, sf), "item", "idx", "score")
 
 
 @query("temporal_consistency", """SELECT item, n AS num_frames, mean AS score_mean, std AS score_std, CASE WHEN n < 3 THEN 0.5 ELSE least(greatest(sm * 0.4 + (1.0 - fl) * 0.3 + tr * 0.3, 0.0), 1.0) END AS consistency,
     ((sm < 0.4)::INT + (fl > 0.15)::INT + (tr < 0.3)::INT + (periodicity > 0.6)::INT)::BIGINT AS flags FROM sp JOIN per USING (item)""", "score_mean score_std consistency", extra=SER)
 def _(spark, sf):
-    t = S.temporal_consistency(D.frame_scores(spark, sf), "item", "idx", "score")
+    t = S.temporal_consistency(stored_scores(spark, sf), "item", "idx", "score")
     return t.select("item", "num_frames", "score_mean", "score_std", "consistency", F.array_size("anomalies").cast("bigint").alias("flags"))
 
 
@@ -84,7 +94,7 @@ def _(spark, sf):
 
 @query("closure_rhythm", "SELECT item, n_frames, closures, nr AS natural_ratio, icv AS interval_cv, pv_score FROM pv", "natural_ratio interval_cv pv_score", extra=_closure("opn"))
 def _(spark, sf):
-    return S.closure_rhythm(D.openings(spark, sf), "item", "idx", "opening")
+    return S.closure_rhythm(materialize(D.openings(spark, sf), "openings"), "item", "idx", "opening")
 
 
 BR = {
@@ -95,14 +105,14 @@ BR = {
 }
 
 
-def metadata(spark, sf):
-    return S.brightness_jumps(D.frame_features(spark, sf), "item", "frame", "brightness", "compression")
+def metadata(frames):
+    return S.brightness_jumps(frames, "item", "frame", "brightness", "compression")
 
 
 @query("brightness_jumps", "SELECT item, n_frames, bm AS brightness_mean, bs AS brightness_std, jumps, cc AS compression_consistency, md AS metadata_score FROM br",
     "brightness_mean brightness_std compression_consistency metadata_score", 6, extra=BR)
 def _(spark, sf):
-    return metadata(spark, sf).select("item", "n_frames", "brightness_mean", "brightness_std", "jumps", "compression_consistency", "metadata_score")
+    return metadata(stored_frames(spark, sf)).select("item", "n_frames", "brightness_mean", "brightness_std", "jumps", "compression_consistency", "metadata_score")
 
 
 SEQ = {
@@ -115,14 +125,14 @@ SEQ = {
 }
 
 
-def sequence(spark, sf):
-    return S.sequence_consistency(D.frame_features(spark, sf), "item", "frame", "changed")
+def sequence(frames):
+    return S.sequence_consistency(frames, "item", "frame", "changed")
 
 
 @query("sequence_consistency", "SELECT item, ad AS avg_diff, sd AS std_diff, cs AS consistency_score, concat_ws('|', CASE WHEN ad > 0.95 THEN 'Extreme frame-to-frame changes detected' END, CASE WHEN ad < 0.001 THEN 'Frames appear nearly identical (possible loop)' END, CASE WHEN sd > 0.3 THEN 'Inconsistent frame changes (possible splicing)' END) AS warnings FROM sqs",
     "avg_diff std_diff consistency_score", extra=SEQ)
 def _(spark, sf):
-    return sequence(spark, sf).withColumn("warnings", F.concat_ws("|", "warnings"))
+    return sequence(D.frame_features(spark, sf)).withColumn("warnings", F.concat_ws("|", "warnings"))
 
 
 @query("uniform_shape", "SELECT item, same_shape FROM us", extra=SEQ)
@@ -142,9 +152,9 @@ def _(spark, sf):
     CASE WHEN score <= 0.6 THEN 'Potential adversarial attack detected' WHEN cs <= 0.5 THEN 'Frame sequence appears corrupted or manipulated' END AS rejection_reason, same_shape AS quick_ok
     FROM us JOIN sqs USING (item) JOIN ci USING (item)""", extra=SEQ)
 def _(spark, sf):
-    f = D.frame_features(spark, sf)
+    f = stored_frames(spark, sf)
     n = f.groupBy("item").agg(F.count(F.lit(1)).alias("n_frames"))
-    r = X.sanity_result(n, sequence(spark, sf), X.uniform_shape(f, "item", "height", "width"), X.content_checks(f, "item", "frame"), "item")
+    r = X.sanity_result(n, sequence(f), X.uniform_shape(f, "item", "height", "width"), X.content_checks(f, "item", "frame"), "item")
     return r.select("item", "n_frames", "is_valid", F.concat_ws("|", "checks_passed").alias("checks_passed"), F.concat_ws("|", "checks_failed").alias("checks_failed"), "rejection_reason", "quick_ok")
 
 
@@ -246,12 +256,12 @@ ALN = {
     FROM (SELECT item, br.n_frames, av_score, pv_score, md, least(av_score * 0.4 + pv_score * 0.35 + md * 0.25, 1.0) AS s FROM br JOIN av USING (item) JOIN (SELECT item, pv_score FROM pv) USING (item))""",
     "av_score pv_score metadata_score score confidence", extra=ALN)
 def _(spark, sf):
-    f = D.frame_features(spark, sf).select("item", "frame", "brightness", "compression")
+    f = materialize(D.frame_features(spark, sf).select("item", "frame", "brightness", "compression"), "frame-features")
     # Frames are daily aggregates, so an item's signal is bounded by its days.
     sig = f.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("frame", "brightness"))).getField("brightness").alias("sig"))
     rhythm = G.speech_rhythm(sig, ["item"], "sig")
     closures = S.closure_rhythm(f, "item", "frame", "brightness")
-    r = U.alignment_result(rhythm, closures, metadata(spark, sf), "item")
+    r = U.alignment_result(rhythm, closures, metadata(f), "item")
     return r.select("item", "n_frames", "av_score", "pv_score", "metadata_score", "score", "confidence", "status")
 
 
@@ -292,7 +302,7 @@ def _(spark, sf):
 
 @query("spectrogram_result", "SELECT item, harmonic, continuity, formants, score, fl::BIGINT AS flags, least(0.4 + abs(score - 0.5) * 0.6 + fl * 0.1, 1.0) AS confidence FROM sr", "harmonic continuity formants score confidence", extra=SPG)
 def _(spark, sf):
-    r = G.spectrogram_result(D.spectrogram(spark, sf), "item", "t", "db", 64)
+    r = G.spectrogram_result(materialize(D.spectrogram(spark, sf), "spectrogram"), "item", "t", "db", 64)
     return r.select("item", "harmonic", "continuity", "formants", "score", F.array_size("anomalies").cast("bigint").alias("flags"), "confidence")
 
 
@@ -338,29 +348,30 @@ def _(spark, sf):
     return D.eye_features(spark, sf).select("item", "t", "gaze_h", "gaze_v")
 
 
-def blinks(spark, sf):
-    return S.blink_runs(D.eye_features(spark, sf), "item", "t", "left_ear", "right_ear")
+def blinks(eyes):
+    return S.blink_runs(eyes, "item", "t", "left_ear", "right_ear")
 
 
-def gaze(spark, sf):
-    return S.gaze_dynamics(D.eye_features(spark, sf), "item", "t", "gaze_h", "gaze_v")
+def gaze(eyes):
+    return S.gaze_dynamics(eyes, "item", "t", "gaze_h", "gaze_v")
 
 
 @query("blink_runs", "SELECT item, n AS n_frames, blinks AS blink_count, sym AS blink_symmetry, dur AS duration_sec, blinks / dur * 60 AS blink_rate FROM bl", "blink_symmetry duration_sec blink_rate", 7, extra=EYE)
 def _(spark, sf):
-    return blinks(spark, sf)
+    return blinks(D.eye_features(spark, sf))
 
 
 @query("gaze_dynamics", "SELECT item, n AS gaze_points, mv AS mean_velocity, sv AS std_velocity, stab AS gaze_stability, sacc AS saccade_score FROM gz", "mean_velocity std_velocity gaze_stability saccade_score", 7, extra=EYE)
 def _(spark, sf):
-    return gaze(spark, sf)
+    return gaze(D.eye_features(spark, sf))
 
 
 @query("gaze_result", """SELECT item, coalesce((coalesce(c1, 0) + coalesce(c2, 0) + coalesce(c3, 0) + coalesce(c4, 0)) / nullif((c1 IS NOT NULL)::INT + (c2 IS NOT NULL)::INT + (c3 IS NOT NULL)::INT + (c4 IS NOT NULL)::INT, 0), 0.1) AS score,
     1.0 AS confidence, rate AS blink_rate, ((c1 IS NOT NULL)::INT + (c2 IS NOT NULL)::INT + (c3 IS NOT NULL)::INT + (c4 IS NOT NULL)::INT)::BIGINT AS flags FROM gq""", "score confidence blink_rate", 7, extra=EYE)
 def _(spark, sf):
-    faces = D.eye_features(spark, sf).groupBy("item").agg(F.count(F.lit(1)).alias("total_frames"), F.count("left_ear").alias("frames_with_face"))
-    r = X.gaze_result(blinks(spark, sf), gaze(spark, sf), "item", faces)
+    eyes = materialize(D.eye_features(spark, sf), "eyes")
+    faces = eyes.groupBy("item").agg(F.count(F.lit(1)).alias("total_frames"), F.count("left_ear").alias("frames_with_face"))
+    r = X.gaze_result(blinks(eyes), gaze(eyes), "item", faces)
     return r.select("item", "score", "confidence", "blink_rate", F.array_size("anomalies").cast("bigint").alias("flags"))
 
 

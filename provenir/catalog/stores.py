@@ -218,11 +218,11 @@ def _(spark, sf):
     return S.histogram(D.events(spark, sf), ["event_type"], "value", S.REQUEST_BUCKETS)
 
 
-@query("active_at", """SELECT instant, sum(d) OVER (ORDER BY instant)::BIGINT AS active FROM (SELECT instant, sum(d) AS d FROM (SELECT ts AS instant, 1 AS d FROM events UNION ALL SELECT ts + to_seconds(floor(value)::BIGINT * 60), -1 FROM events WHERE event_type <> 'error') GROUP BY instant)""")
+@query("active_at", """SELECT strftime(instant, '%Y-%m-%dT%H:%M:%S.%f') AS instant, sum(d) OVER (ORDER BY instant)::BIGINT AS active FROM (SELECT instant, sum(d) AS d FROM (SELECT ts AS instant, 1 AS d FROM events UNION ALL SELECT ts + to_seconds(floor(value)::BIGINT * 60), -1 FROM events WHERE event_type <> 'error') GROUP BY instant)""")
 def _(spark, sf):
     e = D.events(spark, sf)
     end = F.when(F.col("event_type") != "error", F.timestamp_micros(F.unix_micros("ts") + F.floor("value") * 60_000_000))
-    return S.active_at(e.withColumn("done", end), "ts", "done").select(F.col("instant").cast("timestamp_ntz").alias("instant"), "active")
+    return S.active_at(e.withColumn("done", end), "ts", "done").select(H.iso_ts("instant").alias("instant"), "active")
 
 
 # --- dimensions --------------------------------------------------------------------

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.bands import text_verdict
-from ..plans.bindings import table
+from ..plans.bindings import spread, table
 from ..plans.text_scan import admit_text, text_metrics, text_scan, text_scores
 from .base import query
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "source", "lang"))
 
 
 def metrics(spark: SparkSession, sf: str) -> DataFrame:

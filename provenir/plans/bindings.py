@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of CPU-heavy work on a table of few files.
+
+    A table with at least one file per core is left as it is scanned.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -287,7 +296,7 @@ def labelled_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Text scores and sub-scores paired with the quality labels."""
     from .text_scan import text_scan
 
-    t = text_scan(table(spark, sf, "documents").select("doc_id", "text", "source", "lang"))
+    t = text_scan(spread(table(spark, sf, "documents").select("doc_id", "text", "source", "lang")))
     half = [F.coalesce(F.col(f"{k}_score"), F.lit(0.5)).alias(f"{k}_score") for k in ("burstiness", "vocabulary", "perplexity", "repetition", "structure")]
     lab = table(spark, sf, "labels").select(
         "doc_id", (1 - F.col("quality")).alias("y"), "toxic"
