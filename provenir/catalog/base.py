@@ -57,8 +57,8 @@ CTES = {
     "frm": "SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t FROM embeddings",
     "fv": "SELECT label AS item, t, pos, v FROM vals JOIN frm USING (vec_id)",
     "ff0": """SELECT l_suppkey AS item, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS day,
-        avg(l_discount) * 3 AS grid_score, avg(l_tax) * 50 + 1 AS kurtosis, avg(l_quantity) / 10 AS noise_std,
-        avg(l_extendedprice) / 100 AS blur_var, avg(l_discount) * 6 AS detail_ratio, max(l_tax) * 40 AS flow_dir_var,
+        avg(l_discount) * 3.01 AS grid_score, avg(l_tax) * 50 + 1 AS kurtosis, avg(l_quantity) / 10 AS noise_std,
+        avg(l_extendedprice) / 100 AS blur_var, avg(l_discount) * 6.03 AS detail_ratio, max(l_tax) * 40 AS flow_dir_var,
         sum(l_quantity) / 20 AS flow_mag, avg(l_quantity) * 5 AS brightness, avg(l_tax) * 100 AS compression,
         avg(l_discount) * 9 AS changed, avg(l_extendedprice) / 300 AS gradient, min(l_quantity) - 1 AS min_val,
         max(l_quantity) * 5.2::DOUBLE AS max_val, avg(l_tax) * 12 AS high_freq_share FROM lineitem GROUP BY 1, 2""",
@@ -103,7 +103,7 @@ CTES = {
         least(CASE WHEN ratio > 0.1 THEN 0.4 WHEN ratio > 0.05 THEN 0.2 ELSE 0.0 END + CASE WHEN density > 0.3 THEN 0.5 WHEN density > 0.15 THEN 0.25 ELSE 0.0 END, 1.0) AS s_r,
         CASE WHEN n_sents < 3 THEN 0.5 ELSE least(CASE WHEN diversity < 0.4 THEN 0.4 WHEN diversity < 0.6 THEN 0.2 ELSE 0.0 END + CASE WHEN len_entropy < 0.5 THEN 0.4 WHEN len_entropy < 0.7 THEN 0.2 ELSE 0.0 END, 1.0) END AS s_s
         FROM ts0""",
-    "ts": """SELECT *, round(CASE WHEN ok THEN s_b * 0.30 + s_v * 0.25 + s_r * 0.20 + s_s * 0.15 + s_p * 0.10 ELSE 0.5 END::DOUBLE, 4) AS score,
+    "ts": """SELECT *, CASE WHEN ok THEN s_b * 0.30 + s_v * 0.25 + s_r * 0.20 + s_s * 0.15 + s_p * 0.10 ELSE 0.5 END AS raw, round(raw, 4) AS score,
         round(CASE WHEN ok THEN 0.4 + least(n_words / 300, 1.0) * 0.5 ELSE 0.2 END::DOUBLE, 4) AS confidence FROM ts1""",
     "lab": """SELECT doc_id, source, lang, score AS s_full, confidence, n_words AS word_count,
         CASE WHEN ok THEN s_b ELSE 0.5 END::DOUBLE AS burstiness_score, CASE WHEN ok THEN s_v ELSE 0.5 END::DOUBLE AS vocabulary_score,

@@ -17,13 +17,13 @@ from .base import BAND, query
 
 
 @query("numeric_kit", """SELECT event_id, least(greatest(value / 100, 0.0), 1.0) AS clipped, 1.0 / (1.0 + exp(-value / 100)) AS squashed,
-    ln((value / 500) / (1.0 - value / 500 + 1e-10) + 1e-10) AS log_odds, round(value / 7, 4) AS short FROM events""",
+    ln((value / 5000) / (1.0 - value / 5000 + 1e-10) + 1e-10) AS log_odds, round(value / 7, 4) AS short FROM events""",
     "clipped squashed log_odds short")
 def _(spark, sf):
     v = F.col("value")
     return D.events(spark, sf).select(
         "event_id", clip(v / 100).alias("clipped"), sigmoid(v / 100).alias("squashed"),
-        logit(v / 500).alias("log_odds"), F.round(v / 7, 4).alias("short"),
+        logit(v / 5000).alias("log_odds"), F.round(v / 7, 4).alias("short"),
     )
 
 
@@ -213,9 +213,9 @@ def _(spark, sf):
     return fused(spark, sf).select("item", "verdict", "reason", "conflicting")
 
 
-@query("core_confidence", f"SELECT item, {CONF} AS confidence, round(least(greatest(100 * (1 - wavg), 0.0), 100.0), 2) AS integrity_score FROM fkl", "confidence integrity_score", 6, extra=FUSE)
+@query("core_confidence", f"SELECT item, {CONF} AS confidence, least(greatest(100 * (1 - wavg), 0.0), 100.0) AS integrity_score FROM fkl", "confidence integrity_score", 6, extra=FUSE)
 def _(spark, sf):
-    return fused(spark, sf).select("item", "confidence", "integrity_score")
+    return fused(spark, sf).select("item", "confidence", U.integrity_score("fused", None).alias("integrity_score"))
 
 
 @query("fuse_cores", f"SELECT item, {_verdict('wavg')} AS verdict, wavg AS fused, {CONF} AS confidence, kind AS consensus_type, leading_core, w_biosignal, w_artifact, w_alignment FROM fkl",
@@ -367,7 +367,7 @@ def _(spark, sf):
     return f.select("doc_id", "detectors_run", "aggregate_score", "verdict")
 
 
-@query("result_rows", "SELECT doc_id, 'Text Detector' AS detector_name, score, confidence, CASE WHEN NOT ok THEN 'WARN' WHEN score > 0.65 THEN 'FAIL' WHEN score > 0.35 THEN 'WARN' ELSE 'PASS' END AS status, n_words::VARCHAR AS words FROM ts", "score confidence", 4)
+@query("result_rows", "SELECT doc_id, 'Text Detector' AS detector_name, score, confidence, CASE WHEN NOT ok THEN 'WARN' WHEN raw > 0.65 THEN 'FAIL' WHEN raw > 0.35 THEN 'WARN' ELSE 'PASS' END AS status, n_words::VARCHAR AS words FROM ts", "score confidence", 4)
 def _(spark, sf):
     r = text_detector().detect(D.spread(D.table(spark, sf, "documents").select("doc_id", "text")), "doc_id")
     s = r.select("doc_id", result_struct().alias("r"))

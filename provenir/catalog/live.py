@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import iso_ts
 from ..operators.stores import REQUEST_BUCKETS
+from ..plans.bindings import few_files
 from ..plans.text_scan import text_scan
 from ..session import scratch_dir
 from ..streaming import jobs as J
@@ -60,7 +61,13 @@ def _(spark, sf):
 @query("watch_files", SCAN_SQL.format(id="doc_id"), "score confidence")
 def _(spark, sf):
     base = scratch_dir(spark, "watch")
-    scan = lambda df: text_scan(df.select("doc_id", "text"))
+    small = few_files(spark.read.parquet(f"{sf}/documents.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+
+    def scan(df):
+        new = df.select("doc_id", "text")
+        return text_scan(new.repartition(cores) if small else new)
+
     J.watch_files(spark, f"{sf}/documents.parquet", scan, f"{base}/out", f"{base}/cp").awaitTermination()
     return scan_view(spark.read.parquet(f"{base}/out"), "doc_id")
 

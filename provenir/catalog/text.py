@@ -12,6 +12,9 @@ from ..plans.text_scan import admit_text, text_metrics, text_scan, text_scores
 from .base import query
 
 
+ENOUGH = f"word_count >= {T.MIN_WORDS}"
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents").select("doc_id", "text", "source", "lang"))
 
@@ -39,23 +42,23 @@ def _(spark, sf):
 
 @query("char_entropy", "SELECT doc_id, char_entropy FROM chent", "char_entropy")
 def _(spark, sf):
-    return metrics(spark, sf).filter("char_entropy IS NOT NULL").select("doc_id", "char_entropy")
+    return metrics(spark, sf).filter(ENOUGH).select("doc_id", "char_entropy")
 
 
 @query("bigram_entropy", "SELECT doc_id, bigram_entropy FROM bgent", "bigram_entropy")
 def _(spark, sf):
-    return metrics(spark, sf).filter("bigram_entropy IS NOT NULL").select("doc_id", "bigram_entropy")
+    return metrics(spark, sf).filter(ENOUGH).select("doc_id", "bigram_entropy")
 
 
 @query("perplexity_score", "SELECT s_p AS perplexity_score, count(*) AS docs FROM ts1 WHERE ok GROUP BY 1", "perplexity_score")
 def _(spark, sf):
-    s = text_scores(metrics(spark, sf)).filter("perplexity_score IS NOT NULL")
+    s = text_scores(metrics(spark, sf)).filter(ENOUGH)
     return s.groupBy("perplexity_score").agg(F.count(F.lit(1)).alias("docs"))
 
 
 @query("burstiness", "SELECT doc_id, cv AS burstiness_cv, s_b AS burstiness_score FROM ts1 WHERE ok", "burstiness_cv burstiness_score")
 def _(spark, sf):
-    s = text_scores(metrics(spark, sf)).filter("burstiness_score IS NOT NULL")
+    s = text_scores(metrics(spark, sf)).filter(ENOUGH)
     return s.select("doc_id", "burstiness_cv", "burstiness_score")
 
 
@@ -65,7 +68,7 @@ def _(spark, sf):
     "type_token_ratio hapax_ratio guiraud_index vocabulary_score",
 )
 def _(spark, sf):
-    s = text_scores(metrics(spark, sf)).filter("vocabulary_score IS NOT NULL")
+    s = text_scores(metrics(spark, sf)).filter(ENOUGH)
     return s.select(
         "doc_id", F.col("unique_words").cast("bigint").alias("unique_words"), "type_token_ratio", "hapax_ratio", "guiraud_index", "vocabulary_score"
     )
@@ -73,12 +76,12 @@ def _(spark, sf):
 
 @query("trigram_repetition", "SELECT doc_id, ratio AS trigram_repetition_ratio FROM ts1 WHERE ok", "trigram_repetition_ratio")
 def _(spark, sf):
-    return metrics(spark, sf).filter("trigram_repetition_ratio IS NOT NULL").select("doc_id", "trigram_repetition_ratio")
+    return metrics(spark, sf).filter(ENOUGH).select("doc_id", "trigram_repetition_ratio")
 
 
 @query("marker_density", "SELECT doc_id, markers::BIGINT AS markers_found, density AS marker_density, s_r AS repetition_score FROM ts1 WHERE ok", "marker_density repetition_score")
 def _(spark, sf):
-    s = text_scores(metrics(spark, sf)).filter("marker_density IS NOT NULL")
+    s = text_scores(metrics(spark, sf)).filter(ENOUGH)
     return s.select("doc_id", F.col("markers_found").cast("bigint").alias("markers_found"), "marker_density", "repetition_score")
 
 
@@ -88,14 +91,14 @@ def _(spark, sf):
     "start_diversity length_entropy structure_score",
 )
 def _(spark, sf):
-    s = text_scores(metrics(spark, sf)).filter("structure_score IS NOT NULL")
+    s = text_scores(metrics(spark, sf)).filter(ENOUGH)
     return s.select(
         "doc_id", F.col("sentence_start_diversity").alias("start_diversity"), F.col("sentence_length_entropy").alias("length_entropy"), "structure_score"
     )
 
 
 SCAN_SQL = """SELECT {id}, n_words::BIGINT AS word_count, n_sents::BIGINT AS sentence_count, score, confidence,
-    CASE WHEN NOT ok THEN 'WARN' WHEN score > 0.65 THEN 'FAIL' WHEN score > 0.35 THEN 'WARN' ELSE 'PASS' END AS status,
+    CASE WHEN NOT ok THEN 'WARN' WHEN raw > 0.65 THEN 'FAIL' WHEN raw > 0.35 THEN 'WARN' ELSE 'PASS' END AS status,
     CASE WHEN NOT ok THEN 'INSUFFICIENT_TEXT' ELSE concat_ws(',', CASE WHEN s_b > 0.6 THEN 'LOW_BURSTINESS_DETECTED' END,
     CASE WHEN s_v > 0.6 THEN 'UNIFORM_VOCABULARY' END, CASE WHEN s_r > 0.6 THEN 'HIGH_NGRAM_REPETITION' END,
     CASE WHEN s_s > 0.6 THEN 'UNIFORM_SENTENCE_LENGTH' END) END AS anomalies,

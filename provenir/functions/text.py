@@ -192,9 +192,12 @@ def trigram_repetition(words: str | Column) -> Column:
 
 def marker_count(joined: str | Column) -> Column:
     """Distinct marker phrases found as substrings of the joined words."""
-    j = col(joined)
-    hits = [F.when(F.contains(j, F.lit(m)), 1).otherwise(0) for m in MARKERS]
-    return sum(hits[1:], hits[0])
+
+    def hits(j: Column) -> Column:
+        found = [F.when(F.contains(j, F.lit(m)), 1).otherwise(0) for m in MARKERS]
+        return sum(found[1:], found[0])
+
+    return let(col(joined), hits)
 
 
 def repetition_score(ratio: Column, density: Column) -> Column:

@@ -213,8 +213,10 @@ def core_confidence() -> Column:
     return clip(base * balance + bonus, 0.1, 1.0)
 
 
-def integrity_score(score: str = "fused") -> Column:
-    return F.round(clip(100 * (1 - F.col(score)), 0.0, 100.0), 2)
+def integrity_score(score: str = "fused", digits: int | None = 2) -> Column:
+    """0 to 100, where 100 is authentic; ``digits`` None keeps it unrounded."""
+    raw = clip(100 * (1 - F.col(score)), 0.0, 100.0)
+    return raw if digits is None else F.round(raw, digits)
 
 
 def fuse_cores(df: DataFrame, mode: str = "weighted_average") -> DataFrame:

@@ -104,18 +104,22 @@ def ledger_append(df: DataFrame, chain: str, order: list[str], tails: DataFrame
 
     A hash chain is serial by definition, so each chain streams through one
     task in order with only the last hash in memory; chains run in parallel.
-    ``tails`` (chain, block_index, block_hash) continues stored chains.
+    ``tails`` (chain, block_index, block_hash) continues stored chains: each
+    tail travels as a marker row ahead of its chain's new rows.
     """
-    d = _block_text(df)
+    d = _block_text(df).withColumns(
+        {"_new": F.lit(1), "_i0": F.lit(None).cast("bigint"), "_h0": F.lit(None).cast("string")}
+    )
     if tails is not None:
-        d = d.join(
-            tails.select(chain, F.col("block_index").alias("_i0"), F.col("block_hash").alias("_h0")), chain, "left"
+        marks = tails.select(
+            chain, F.lit(0).alias("_new"),
+            F.col("block_index").cast("bigint").alias("_i0"), F.col("block_hash").alias("_h0"),
         )
-        d = d.withColumns({"_i0": F.coalesce("_i0", F.lit(-1)), "_h0": F.coalesce("_h0", F.lit(GENESIS))})
-    else:
-        d = d.withColumns({"_i0": F.lit(-1).cast("bigint"), "_h0": F.lit(GENESIS)})
-    d = d.withColumn("_i0", F.col("_i0").cast("bigint"))
-    ordered = d.repartition(chain).sortWithinPartitions(chain, *order)
+        d = d.unionByName(marks, allowMissingColumns=True)
+    # The hash of the key, not the key: Spark drops a repartition by a key its
+    # input is already partitioned by, and a join below it that turns into a
+    # broadcast at run time would then leave a chain spread over tasks.
+    ordered = d.repartition(F.xxhash64(chain)).sortWithinPartitions(chain, "_new", *order)
     names = [c for c in df.columns]
     extra = "block_index bigint, previous_hash string, block_hash string"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", " + extra
@@ -123,17 +127,23 @@ def ledger_append(df: DataFrame, chain: str, order: list[str], tails: DataFrame
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_chain, index, prev = None, -1, GENESIS
         for pdf in batches:
-            idx, before, after = [], [], []
-            for key, i0, h0, mid, end in zip(pdf[chain], pdf["_i0"], pdf["_h0"], pdf["_mid"], pdf["_end"]):
+            idx, before, after, keep = [], [], [], []
+            cols = (pdf[c] for c in (chain, "_new", "_i0", "_h0", "_mid", "_end"))
+            for key, new, i0, h0, mid, end in zip(*cols):
                 if key != last_chain:
-                    last_chain, index, prev = key, int(i0), h0
+                    last_chain, index, prev = key, -1, GENESIS
+                keep.append(bool(new))
+                if not new:
+                    index, prev = int(i0), h0
+                    continue
                 index += 1
                 digest = hashlib.sha256(f'{{"block_index":{index}{mid}{prev}{end}'.encode()).hexdigest()
                 idx.append(index)
                 before.append(prev)
                 after.append(digest)
                 prev = digest
-            yield pdf[names].assign(block_index=idx, previous_hash=before, block_hash=after)
+            out = pdf.loc[keep, names]
+            yield out.assign(block_index=idx, previous_hash=before, block_hash=after)
 
     return ordered.mapInPandas(link, schema)
 

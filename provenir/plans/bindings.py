@@ -23,8 +23,15 @@ def spread(df: DataFrame) -> DataFrame:
 
     A table with at least one file per core is left as it is scanned.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(_cores(df.sparkSession)) if few_files(df) else df
+
+
+def _cores(spark: SparkSession) -> int:
+    return spark.sparkContext.defaultParallelism
+
+
+def few_files(df: DataFrame) -> bool:
+    return len(df.inputFiles()) < _cores(df.sparkSession)
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -234,11 +241,11 @@ def frame_features(spark: SparkSession, sf: str) -> DataFrame:
     l = table(spark, sf, "lineitem")
     d = F.datediff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date"))
     g = l.groupBy(F.col("l_suppkey").alias("item"), d.cast("bigint").alias("day")).agg(
-        (F.avg("l_discount") * 3).alias("grid_score"),
+        (F.avg("l_discount") * 3.01).alias("grid_score"),
         (F.avg("l_tax") * 50 + 1).alias("kurtosis"),
         (F.avg("l_quantity") / 10).alias("noise_std"),
         (F.avg("l_extendedprice") / 100).alias("blur_var"),
-        (F.avg("l_discount") * 6).alias("detail_ratio"),
+        (F.avg("l_discount") * 6.03).alias("detail_ratio"),
         (F.max("l_tax") * 40).alias("flow_dir_var"),
         (F.sum("l_quantity") / 20).alias("flow_mag"),
         (F.avg("l_quantity") * 5).alias("brightness"),
