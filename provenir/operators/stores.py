@@ -6,8 +6,9 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.bands import status_band
 from ..functions.exprs import fmt
@@ -111,8 +112,10 @@ def ledger_append(df: DataFrame, chain: str, order: list[str], tails: DataFrame
         {"_new": F.lit(1), "_i0": F.lit(None).cast("bigint"), "_h0": F.lit(None).cast("string")}
     )
     if tails is not None:
+        # Whole-number columns stay free of NULL, which pandas would turn to float.
+        whole = [f for f in df.schema.fields if f.name != chain and isinstance(f.dataType, T.IntegralType)]
         marks = tails.select(
-            chain, F.lit(0).alias("_new"),
+            chain, F.lit(0).alias("_new"), *[F.lit(0).cast(f.dataType).alias(f.name) for f in whole],
             F.col("block_index").cast("bigint").alias("_i0"), F.col("block_hash").alias("_h0"),
         )
         d = d.unionByName(marks, allowMissingColumns=True)
@@ -133,7 +136,7 @@ def ledger_append(df: DataFrame, chain: str, order: list[str], tails: DataFrame
                 if key != last_chain:
                     last_chain, index, prev = key, -1, GENESIS
                 keep.append(bool(new))
-                if not new:
+                if not new:  # i0 is a float here, exact up to 2**53 blocks
                     index, prev = int(i0), h0
                     continue
                 index += 1
@@ -315,26 +318,24 @@ def valid_weights(df: DataFrame) -> DataFrame:
 def weights_as_of(scans: DataFrame, versions: DataFrame, ts: str, valid_from: str) -> DataFrame:
     """Weights in force at each scan: the last valid version at or before it.
 
-    Versions become intervals and then one row per day they cover, so the
-    as-of lookup is an equi-join on the day. Scans before the first version
-    get the base weights.
+    The running count of versions along time is the number of the version in
+    force, so the as-of lookup becomes an equi-join on that number. Scans
+    before the first version get the base weights.
     """
     good = valid_weights(versions).filter("is_valid").drop("is_valid")
-    span = scans.agg(F.struct(F.min(ts).alias("lo"), F.max(ts).alias("hi"))).scalar()
-    # One row per configuration change.
-    w = Window.orderBy(valid_from)
-    iv = good.withColumns({"_to": F.lead(valid_from).over(w), "_span": span})
-    lo = F.greatest(F.to_date(valid_from), F.to_date("_span.lo"))
-    hi = F.least(F.to_date(F.coalesce("_to", F.col("_span.hi"))), F.to_date("_span.hi"))
-    days = iv.filter(lo <= hi).withColumn("_day", F.explode(F.sequence(lo, hi)))
-    right = days.select("_day", F.col(valid_from).alias("_from"), "_to", "version", *CORES)
-    d = scans.withColumn("_day", F.to_date(ts))
-    inside = (F.col(ts) >= F.col("_from")) & (F.col("_to").isNull() | (F.col(ts) < F.col("_to")))
-    l, r = d.alias("l"), right.alias("r")
-    j = l.join(r, (F.col("l._day") == F.col("r._day")) & inside, "left")
+    cell = F.unix_seconds(F.col("_ts"))
+    numbered = prefix_sums(
+        good.withColumn("_ts", F.col(valid_from)), [], cell, [F.col("_ts"), F.col("version")],
+        {"_no": F.lit(1).cast("bigint")},
+    ).select("_no", "version", *CORES)
+    line = scans.withColumns({"_ts": F.col(ts), "_v": F.lit(0).cast("bigint")}).unionByName(
+        good.select(F.col(valid_from).alias("_ts"), F.lit(1).cast("bigint").alias("_v")),
+        allowMissingColumns=True,
+    )
+    placed = prefix_sums(line, [], cell, [F.col("_ts"), F.col("_v").desc()], {"_no": F.col("_v")})
+    j = placed.filter("_v = 0").join(numbered, "_no", "left")
     return j.select(
-        *[F.col(f"l.{c}") for c in scans.columns], "version",
-        *[F.coalesce(F.col(f"r.{k}"), F.lit(BASE_WEIGHTS[k])).alias(k) for k in CORES],
+        *scans.columns, "version", *[F.coalesce(F.col(k), F.lit(BASE_WEIGHTS[k])).alias(k) for k in CORES]
     )
 
 

@@ -21,8 +21,9 @@ RESULT_COLUMNS = (
 class Detector:
     """A named function from an input table to result rows.
 
-    ``run`` returns (item, score, confidence, status, anomalies, data_quality)
-    and optionally ``details``; ``required`` tells which rows have its input.
+    ``run`` returns one row per input row with (item, score, confidence,
+    status, anomalies, data_quality) and optionally ``details``; a NULL score
+    marks a failed row. ``required`` tells which rows have its input.
     """
 
     name: str
@@ -34,14 +35,20 @@ class Detector:
     enabled: bool = True
 
     def detect(self, df: DataFrame, item: str) -> DataFrame:
-        """Result rows for every input row, neutral where input is missing."""
-        need = self.required()
+        """Result rows for every input row, neutral where input is missing.
+
+        The two kinds of row are united, so no join back to the input is needed.
+        """
+        need = F.coalesce(self.required(), F.lit(False))
         got = self.run(df.filter(need))
         if "details" not in got.columns:
             got = got.withColumn("details", F.create_map().cast("map<string,string>"))
         keep = [c for c in RESULT_COLUMNS if c in got.columns]
-        j = df.select(item, need.alias("_has")).join(got.select(item, *keep), item, "left")
-        full = with_fallback(j, self.name, self.kind, F.col("_has"))
+        missing = df.filter(~need).select(item)
+        rows = got.select(item, *keep, F.lit(True).alias("_has")).unionByName(
+            missing.withColumn("_has", F.lit(False)), allowMissingColumns=True
+        )
+        full = with_fallback(rows, self.name, self.kind, F.col("_has"))
         none = F.array().cast("array<string>")
         return full.withColumn("anomalies", F.coalesce("anomalies", none)).select(item, *RESULT_COLUMNS)
 
