@@ -44,12 +44,12 @@ def platt_fit(df: DataFrame, group: str, score: str, label: str) -> DataFrame:
     kind = df.schema[group].dataType.simpleString()
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["n"].sum() < MIN_SAMPLES:
-            return pd.DataFrame({group: [], "a": [], "b": []})
-        a, b = _descend(pdf)
+        enough = pdf["n"].sum() >= MIN_SAMPLES
+        a, b = _descend(pdf) if enough else (np.nan, np.nan)
         return pd.DataFrame({group: [pdf[group].iloc[0]], "a": [a], "b": [b]})
 
-    return hist.groupBy(group).applyInPandas(fit, f"{group} {kind}, a double, b double")
+    fitted = hist.groupBy(group).applyInPandas(fit, f"{group} {kind}, a double, b double")
+    return fitted.filter(F.col("a").isNotNull() & ~F.isnan("a"))
 
 
 def apply_temperature(score: Column, temperature: Column) -> Column:
