@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FAN = 4096
+FAN_BITS = 12
+FAN = 1 << FAN_BITS
 CHUNK = 4096
 
 
@@ -33,17 +34,27 @@ def prefix_sums(
 
     ``cell`` is a bigint that never decreases along ``order``. ``levels`` says
     how often cells are folded by ``FAN`` before the top window, which then
-    spans range(cell) / FAN**levels rows per key.
+    spans range(cell) / FAN**levels rows per key. Rows with a NULL key or cell
+    are left out.
     """
     names = list(sums)
-    base = df.withColumn("_c0", cell.cast("bigint"))
+    # Rows without a key or place belong to no series. Saying so here keeps the
+    # branches below alike, so Spark runs their common exchange once.
+    placed = F.col("_c0").isNotNull()
+    for k in keys:
+        placed = placed & F.col(k).isNotNull()
+    folded = F.col("_c0")
+    for _ in range(levels):
+        folded = F.shiftright(folded, FAN_BITS)
+        placed = placed & folded.isNotNull()
+    base = df.withColumn("_c0", cell.cast("bigint")).filter(placed)
     for n in names:
         base = base.withColumn(f"_v_{n}", sums[n])
     totals = [
         base.groupBy(*keys, "_c0").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names])
     ]
     for lv in range(1, levels + 1):
-        up = totals[-1].withColumn(f"_c{lv}", F.floor(F.col(f"_c{lv - 1}") / FAN))
+        up = totals[-1].withColumn(f"_c{lv}", F.shiftright(f"_c{lv - 1}", FAN_BITS))
         totals[-1] = up
         totals.append(
             up.groupBy(*keys, f"_c{lv}").agg(*[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in names])
