@@ -1,4 +1,4 @@
-"""Registered queries with their reference SQL."""
+"""Registered queries, each with equivalent SQL where it can be expressed."""
 
 from . import evaluation, features, fusion, live, series, stores, text  # noqa: F401
 from .base import ORACLES, QUERIES

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import __version__
 from ..functions.exprs import col
 from ..functions.hashing import iso_ts
 
-SERVICE, VERSION = "scanner", "3.3.0"
+SERVICE, VERSION = "provenir", __version__
 
 # Field set of each audit event kind; the name is built from the kind.
 AUDIT_FIELDS = {
