@@ -187,7 +187,16 @@ def _(spark, sf):
     return C.platt_fit(dataset(spark, sf), "ds", "s", "y")
 
 
-@query("calibrate")
+FITTED = {
+    **FX, **CAL, "pf": PLATT,
+    "tf": "SELECT ds, arg_min(temperature, (round(ece, 12), temperature)) AS temperature FROM ce GROUP BY ds",
+    "cq": """SELECT event_id, 1.0 / (1.0 + exp(-(a * value / 500 + b))) AS cs, 1.0 / (1.0 + exp(-ln(0.8 / (1.0 - 0.8 + 1e-10) + 1e-10) / temperature)) AS cc
+        FROM events JOIN pf ON pf.ds = event_type JOIN tf ON tf.ds = event_type""",
+}
+
+
+@query("calibrate", "SELECT event_id, cs AS calibrated_score, cc AS calibrated_confidence, abs(cs - 0.5) * 2 * 0.5 + cc * 0.5 AS reliability, 'platt_scaling' AS method FROM cq",
+    "calibrated_score calibrated_confidence reliability", 7, extra=FITTED)
 def _(spark, sf):
     d = dataset(spark, sf)
     params = C.platt_fit(d, "ds", "s", "y").join(C.temperature_fit(d, "ds", "s", "y").drop("ece"), "ds")
