@@ -137,9 +137,9 @@ WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce
       md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1 AS weight FROM s),
-r AS (SELECT *, coalesce(sum(3 * source_size) OVER q, 0) AS spent, sum(weight) OVER () - coalesce(sum(weight) OVER q, 0) AS open,
+r AS (SELECT *, row_number() OVER (ORDER BY 3.0 * source_size / weight, source) AS k, coalesce(sum(3 * source_size) OVER q, 0) AS spent, sum(weight) OVER () - coalesce(sum(weight) OVER q, 0) AS open,
       sum(source_size) OVER () AS total FROM w WINDOW q AS (ORDER BY 3.0 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-v AS (SELECT min((total - spent)::DOUBLE / open) FILTER ((total - spent)::DOUBLE / open * weight <= 3 * source_size) AS level FROM r),
+v AS (SELECT min_by((total - spent)::DOUBLE / open, k) FILTER ((total - spent)::DOUBLE / open * weight <= 3 * source_size) AS level FROM r),
 t AS (SELECT source, source_size, weight, least((3 * source_size)::DOUBLE, weight * level) AS target FROM w, v),
 p AS (SELECT doc_id, size, source_size, target, weight, round(target)::BIGINT AS goal,
       coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
