@@ -69,7 +69,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 def linked_classes(buckets: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], name: str, hub_rounds: int = 6) -> DataFrame:
     """Components of items whose links show up as shared buckets, without all pairs of a bucket.
 
-    ``buckets``: (bucket bigint, item bigint), distinct; a link between two
+    ``buckets``: (bucket bigint, item bigint); a link between two
     items implies a shared bucket. ``verifier(items)`` prepares for the items
     that share one and returns a function that keeps the linked pairs (a, b).
 
@@ -81,7 +81,7 @@ def linked_classes(buckets: DataFrame, verifier: Callable[[DataFrame], Callable[
     """
     found = buckets.groupBy("bucket").agg(F.min("item").alias("hub"), F.max("item").alias("last"))
     hubs = materialize(found.filter("hub <> last").select("bucket", "hub"), f"{name}-hubs")
-    shared = materialize(may_hold(buckets, F.col("bucket"), hubs, F.col("bucket")).join(hubs.select("bucket"), "bucket"), f"{name}-shared")
+    shared = materialize(may_hold(buckets, F.col("bucket"), hubs, F.col("bucket")).join(hubs.select("bucket"), "bucket").select("bucket", "item").distinct(), f"{name}-shared")
     verify = verifier(materialize(shared.select("item").distinct(), f"{name}-items"))
     tried = materialize(shared.join(hubs, "bucket").filter("item <> hub").select(F.col("hub").alias("a"), F.col("item").alias("b")).distinct(), f"{name}-pairs")
     links = materialize(verify(tried), f"{name}-links")
@@ -103,6 +103,8 @@ def linked_classes(buckets: DataFrame, verifier: Callable[[DataFrame], Callable[
         else:
             pairs = placed.join(unsettled, "bucket").filter("comp <> at").select(F.least("item", "hub").alias("a"), F.greatest("item", "hub").alias("b"))
         pairs = materialize(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), f"{name}-pairs")
+        if last and pairs.isEmpty():
+            break
         links = materialize(links.select("a", "b").union(verify(pairs)), f"{name}-links")
         if last:
             labels = materialize(components(links, name), f"{name}-labels")
