@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
+#: Blocks of an open bucket: at most about so much data (bytes) and so many items.
+BLOCK_WEIGHT, BLOCK_ROWS = 4 << 20, 256
+
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -66,48 +71,70 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select("b", "b").distinct())
 
 
-def linked_classes(buckets: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], name: str, hub_rounds: int = 6) -> DataFrame:
-    """Components of items whose links show up as shared buckets, without all pairs of a bucket.
-
-    ``buckets``: (bucket bigint, item bigint); a link between two
-    items implies a shared bucket. ``verifier(items)`` prepares for the items
-    that share one and returns a function that keeps the linked pairs (a, b).
-
-    First every member of a bucket is held against one member, its hub; what
-    links is one component. While the pairs still open (same bucket, different
-    component) exceed a few for each row, another hub is drawn. Then all open
-    pairs are checked, so no component is missed: pairs left out are those
-    whose ends are already connected.
+def _tile_links(compare: Callable[[list[bytes], list[bytes], np.ndarray, np.ndarray], np.ndarray]):
+    """Links within tiles (x, y: lists of item, comp, data; same: both are one block)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                x, y, same = (b.column(n)[r].as_py() for n in range(3))
+                ix, iy = (np.array([e["item"] for e in v], np.int64) for v in (x, y))
+                cx, cy = (np.array([e["comp"] for e in v], np.int64) for v in (x, y))
+                dx, dy = ([e["data"] for e in v] for v in (x, y))
+                for s in range(0, len(x), max(1, 65536 // len(y))):
+                    part = slice(s, s + max(1, 65536 // len(y)))
+                    ahead = ix[part, None] < iy if same else ix[part, None] != iy
+                    i, j = np.nonzero((cx[part, None] != cy) & ahead)
+                    if len(i):
+                        i += s
+                        good = compare(dx, dy, i, j)
+                        yield pa.RecordBatch.from_arrays([pa.array(ix[i[good]]), pa.array(iy[j[good]])], ["a", "b"])
+
+    return run
+
+
+def linked_classes(buckets: DataFrame, verifier: Callable[[DataFrame], tuple], name: str) -> DataFrame:
+    """Components (node, comp) of items whose links show up as shared buckets, without emitting the pairs of a bucket.
+
+    ``buckets``: (bucket bigint, item bigint); a link between two items implies a
+    shared bucket. ``verifier(items)`` prepares for the items that share one and
+    returns ``verify`` (keeps the linked of pairs (a, b)), ``data`` (item, weight,
+    data binary) and ``compare`` (two lists of such data and the places of pairs
+    in them -> mask of links).
+
+    First every member of a bucket is held against one member, its hub: the one
+    whose buckets are largest, as the centre of a family of near copies shares
+    most with the rest. What links is one component. Buckets that still hold
+    several components are cut into blocks of bounded weight; each two blocks
+    are one row, within which the open pairs (different components) are compared
+    and only links come out. So no link that would join components is missed,
+    and pairs are never rows.
     """
-    found = buckets.groupBy("bucket").agg(F.min("item").alias("hub"), F.max("item").alias("last"))
-    hubs = materialize(found.filter("hub <> last").select("bucket", "hub"), f"{name}-hubs")
-    shared = materialize(may_hold(buckets, F.col("bucket"), hubs, F.col("bucket")).join(hubs.select("bucket"), "bucket").select("bucket", "item").distinct(), f"{name}-shared")
-    verify = verifier(materialize(shared.select("item").distinct(), f"{name}-items"))
-    tried = materialize(shared.join(hubs, "bucket").filter("item <> hub").select(F.col("hub").alias("a"), F.col("item").alias("b")).distinct(), f"{name}-pairs")
-    links = materialize(verify(tried), f"{name}-links")
-    rows = shared.count()
-    for k in range(hub_rounds + 1):
-        labels = materialize(components(links, name), f"{name}-labels")
-        placed = shared.join(labels, shared.item == labels.node, "left").select("bucket", "item", F.coalesce("comp", "item").alias("comp"))
-        spread = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.col("item"), F.lit(k)).alias("h"), F.col("item").alias("hub"), F.col("comp").alias("at"))).alias("pick"))
-        unsettled = materialize(spread.filter("lo <> hi").select("bucket", "n", "pick.hub", "pick.at"), f"{name}-open")
-        size = unsettled.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()[0]
-        if not size:
-            break
-        placed = materialize(placed.join(unsettled.select("bucket"), "bucket"), f"{name}-placed")
-        last = k == hub_rounds or size <= 4 * rows
-        if last:
-            x = placed.select("bucket", F.col("item").alias("a"), F.col("comp").alias("ca"))
-            y = placed.select("bucket", F.col("item").alias("b"), F.col("comp").alias("cb"))
-            pairs = x.join(y, "bucket").filter("a < b and ca <> cb")
-        else:
-            pairs = placed.join(unsettled, "bucket").filter("comp <> at").select(F.least("item", "hub").alias("a"), F.greatest("item", "hub").alias("b"))
-        pairs = materialize(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), f"{name}-pairs")
-        if last and pairs.isEmpty():
-            break
-        links = materialize(links.select("a", "b").union(verify(pairs)), f"{name}-links")
-        if last:
-            labels = materialize(components(links, name), f"{name}-labels")
-            break
-        tried = materialize(tried.union(pairs), f"{name}-tried")
-    return labels
+    found = buckets.groupBy("bucket").agg(F.min("item").alias("low"), F.max("item").alias("high"))
+    common = materialize(found.filter("low <> high").select("bucket"), f"{name}-common")
+    rows = materialize(may_hold(buckets, F.col("bucket"), common, F.col("bucket")).join(common, "bucket").select("bucket", "item").distinct(), f"{name}-rows")
+    verify, data, compare = verifier(materialize(rows.select("item").distinct(), f"{name}-items"))
+    sizes = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")), f"{name}-sizes")
+    degree = materialize(rows.join(sizes, "bucket").groupBy("item").agg(F.sum("n").alias("d")), f"{name}-degree")
+    hubs = materialize(rows.join(degree, "item").groupBy("bucket").agg(F.max(F.struct("d", "item")).alias("hub")).select("bucket", "hub.item"), f"{name}-hubs")
+    pairs = rows.join(hubs.withColumnRenamed("item", "hub"), "bucket").filter("item <> hub")
+    pairs = materialize(pairs.select(F.least("item", "hub").alias("a"), F.greatest("item", "hub").alias("b")).distinct(), f"{name}-pairs")
+    links = materialize(verify(pairs).select("a", "b"), f"{name}-links")
+    labels = materialize(components(links, name), f"{name}-labels")
+    placed = rows.join(labels, rows.item == labels.node, "left").select("bucket", "item", F.coalesce("comp", "item").alias("comp"))
+    placed = materialize(placed, f"{name}-placed")
+    spread = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low <> high and n > 2")
+    rest = materialize(placed.join(materialize(spread.select("bucket"), f"{name}-spread"), "bucket"), f"{name}-rest")
+    if rest.isEmpty():
+        return labels
+    loaded = rest.join(data, "item")
+    blocks = rest.join(data.select("item", "weight"), "item").groupBy("bucket").agg(F.ceil(F.greatest(F.sum("weight") / BLOCK_WEIGHT, F.count("*") / BLOCK_ROWS)).alias("blocks"))
+    chunk = F.pmod(F.xxhash64("item"), F.col("blocks"))
+    packed = loaded.join(materialize(blocks, f"{name}-blocks"), "bucket").groupBy("bucket", chunk.alias("c")).agg(F.collect_list(F.struct("item", "comp", "data")).alias("x"))
+    packed = materialize(packed, f"{name}-packed")
+    tiles = packed.alias("p").join(packed.alias("q"), F.expr("p.bucket = q.bucket and p.c <= q.c")).select(F.col("p.x").alias("x"), F.col("q.x").alias("y"), F.expr("p.c = q.c").alias("same"))
+    more = tiles.mapInArrow(_tile_links(compare), "a bigint, b bigint")
+    more = materialize(more.distinct(), f"{name}-more")
+    if more.isEmpty():
+        return labels
+    return components(links.union(more), name)

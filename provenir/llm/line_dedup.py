@@ -189,20 +189,29 @@ def within(left: list[str], right: list[str], t: int) -> np.ndarray:
     return (dist <= t) & (n1 - n2 <= t)
 
 
+def links(la: list[str], lb: list[str]) -> np.ndarray:
+    """Which pairs of lines link."""
+    size = np.array([(len(x), len(y)) for x, y in zip(la, lb)]).reshape(-1, 2)
+    t = distance_for(size.min(axis=1))
+    good = np.zeros(len(la), bool)
+    for k in range(1, len(DISTANCES) + 1):
+        some = np.flatnonzero((t == k) & (np.abs(size[:, 0] - size[:, 1]) <= k))
+        some = some[np.argsort(size[some].max(axis=1), kind="stable")]
+        while len(some):
+            n = max(1, min(len(some), (1 << 21) // int(size[some[min(len(some), 2048) - 1]].max()), 2048))
+            part, some = some[:n], some[n:]
+            good[part] = within([la[i] for i in part], [lb[i] for i in part], k)
+    return good
+
+
+def _linked(left: list[bytes], right: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return links([left[k].decode() for k in i], [right[k].decode() for k in j])
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, la, lb) that link."""
     for b in batches:
-        la, lb = b.column("la").to_pylist(), b.column("lb").to_pylist()
-        size = np.array([(len(x), len(y)) for x, y in zip(la, lb)]).reshape(-1, 2)
-        t = distance_for(size.min(axis=1))
-        good = np.zeros(len(la), bool)
-        for k in range(1, len(DISTANCES) + 1):
-            some = np.flatnonzero((t == k) & (np.abs(size[:, 0] - size[:, 1]) <= k))
-            some = some[np.argsort(size[some].max(axis=1), kind="stable")]
-            while len(some):
-                n = max(1, min(len(some), (1 << 21) // int(size[some[min(len(some), 2048) - 1]].max()), 2048))
-                part, some = some[:n], some[n:]
-                good[part] = within([la[i] for i in part], [lb[i] for i in part], k)
+        good = links(b.column("la").to_pylist(), b.column("lb").to_pylist())
         yield b.select(["a", "b"]).filter(pa.array(good))
 
 
@@ -218,7 +227,8 @@ def line_classes(texts: DataFrame) -> DataFrame:
             both = pairs.join(lines.select(F.col("item").alias("a"), F.col("line").alias("la")), "a").join(lines.select(F.col("item").alias("b"), F.col("line").alias("lb")), "b")
             return both.select("a", "b", "la", "lb").mapInArrow(_verified, "a bigint, b bigint")
 
-        return verify
+        data = lines.select("item", F.octet_length("line").cast("bigint").alias("weight"), F.col("line").cast("binary").alias("data"))
+        return verify, data, _linked
 
     return linked_classes(buckets, verifier, "ld")
 

@@ -168,6 +168,29 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["item", "shingles"])
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signature and set of an item as one value."""
+    for b in batches:
+        data = [s.as_buffer().to_pybytes() + np.asarray(x.values).tobytes() for s, x in zip(b.column(1), b.column(2))]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(d) for d in data], pa.int64()), pa.array(data, pa.binary())], ["item", "weight", "data"])
+
+
+def _linked(left: list[bytes], right: list[bytes], i: np.ndarray, j: np.ndarray, bounds: tuple[int, ...]) -> np.ndarray:
+    """The same verification for the pairs (left[i], right[j]) of values of ``_joined``."""
+    x, y = (np.frombuffer(b"".join(v[: 4 * MINIMA] for v in side), np.uint32).reshape(-1, MINIMA) for side in (left, right))
+    alive, same = np.arange(len(i)), np.zeros(len(i), np.int64)
+    for k, least in enumerate(bounds):
+        s = slice(k * STEP, (k + 1) * STEP)
+        same[alive] += (x[i[alive], s] == y[j[alive], s]).sum(axis=1)
+        alive = alive[same[alive] >= least]
+    good = np.zeros(len(i), bool)
+    for k in alive.tolist():
+        a, b = np.frombuffer(left[i[k]], np.uint64, offset=4 * MINIMA), np.frombuffer(right[j[k]], np.uint64, offset=4 * MINIMA)
+        shared = len(np.intersect1d(a, b, assume_unique=True))
+        good[k] = 100 * shared >= THRESHOLD * (len(a) + len(b) - shared)
+    return good
+
+
 def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of ``docs``.
 
@@ -184,7 +207,7 @@ def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
 
     def verifier(items: DataFrame):
         some = may_hold(docs.withColumnRenamed("doc_id", "item"), F.xxhash64("item"), items, F.xxhash64("item")).join(items, "item")
-        sets = materialize(some.select("item", "text").mapInArrow(_sets, "item bigint, shingles array<bigint>").distinct(), "mh-sets")
+        sets = materialize(some.select("item", "text").mapInArrow(_sets, "item bigint, shingles array<bigint>"), "mh-sets")
         sigs = firsts.select("item", "sig")
 
         def verify(pairs: DataFrame) -> DataFrame:
@@ -194,7 +217,9 @@ def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
             shared = F.size(F.array_intersect("x", "y"))
             return both.filter(100 * shared >= THRESHOLD * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
 
-        return verify
+        whole = sigs.join(sets, "item").select("item", "sig", "shingles")
+        data = materialize(whole.mapInArrow(_joined, "item bigint, weight bigint, data binary").dropDuplicates(["item"]), "mh-data")
+        return verify, data, functools.partial(_linked, bounds=least_matches(THRESHOLD / 100, miss, STEP, MINIMA))
 
     labels = linked_classes(buckets, verifier, "mh").withColumnRenamed("node", "item")
     rows = each.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").withColumn("item", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("item")))

@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from . import block_search, line_dedup, minhash_dedup, packing, quality_rules, source_mixing, token_files  # noqa: F401
+from . import block_search, line_dedup, minhash_dedup, packing, quality_rules, source_mixing, substring_dedup, token_files  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
