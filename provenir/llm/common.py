@@ -26,6 +26,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once: a lambda variable is not copied by the optimizer."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def may_hold(df: DataFrame, key: Column, keys: DataFrame, of: Column, bits: int = 23) -> DataFrame:
     """Rows of ``df`` whose bigint hash ``key`` may occur among ``of`` in ``keys``.
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import query
-from .common import table, words
+from .common import bind, table, words
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -46,11 +46,6 @@ def mask(rules: tuple[str, ...]) -> int:
     return sum(1 << list(RULES).index(r) for r in rules)
 
 
-def _bound(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once: lambda variables are not copied by the optimizer."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def repeat_words(found: Column) -> Column:
     """Words that lie in a 3-word window occurring twice or more in the array, the first occurrence included.
 
@@ -61,7 +56,7 @@ def repeat_words(found: Column) -> Column:
 
     def marked(h: Column) -> Column:
         order = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return _bound(order, lambda s: _bound(hits(s), covered))
+        return bind(order, lambda s: bind(hits(s), covered))
 
     def hits(s: Column) -> Column:
         twice = F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]))
@@ -70,14 +65,14 @@ def repeat_words(found: Column) -> Column:
     def covered(p: Column) -> Column:
         return F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
 
-    return _bound(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(marked(h)))
+    return bind(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(marked(h)))
 
 
 def with_ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the measurements and ``failure_bits``."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    made = _bound(
+    made = bind(
         F.struct(words(F.col(text)).alias("w"), lines.alias("l"), F.size(F.regexp_extract_all(t, F.lit(r"[#*$%&|<>]"), F.lit(0))).alias("s")),
         lambda x: F.struct(
             F.size(x["w"]).cast("bigint").alias("n_words"),

@@ -10,7 +10,6 @@ Texts with special tokens in them go to the library whole.
 
 from __future__ import annotations
 
-import re
 from array import array
 from itertools import islice
 
@@ -18,8 +17,6 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: White space that is not alone: then the space may belong to a run, and the text is not cut.
-_RUN = re.compile(r"\s\s|\A\s|\s\Z")
 #: The split patterns of the two vocabulary files, with Unicode's White_Space for \s.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 _WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
@@ -32,6 +29,10 @@ def _byte_letters() -> dict[int, int]:
     return {b: b if b in shown else next(spare) for b in range(256)}
 
 
+class _RunOfSpaces(Exception):
+    """White space that is not alone: a space may belong to a run, so the text is not cut."""
+
+
 class TextEncoder:
     """``encode(text)`` gives the ids of a text as bytes of ``<u4``.
 
@@ -39,7 +40,7 @@ class TextEncoder:
     otherwise white space carries no token.
     """
 
-    def __init__(self, path: str, lead: bool, most: int = 600_000):
+    def __init__(self, path: str, lead: bool, most: int = 1_000_000):
         self._whole = Tokenizer.from_file(path)
         self._model, self._norm = self._whole.model, self._whole.normalizer
         self._split = regex.compile(_BYTE_LEVEL if lead else _WORD_LEVEL).findall
@@ -47,28 +48,31 @@ class TextEncoder:
         self._lead = lead
         self._special = [t.content for t in self._whole.get_added_tokens_decoder().values()]
         self._chunks = _Kept(self._chunk, most)
-        self._pieces = _Kept(self._piece, most // 2)
+        self._pieces = _Kept(self._piece, most // 4)
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self._special):
             return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        parts = text.split(" ")
         if not self._lead:
-            return b"".join(map(self._chunks.__getitem__, text.split(" ")))
-        if _RUN.search(text):
+            return b"".join(map(self._chunks.__getitem__, parts))
+        if not parts[0] or parts[0][-1].isspace():
+            return self._direct(text)
+        try:
+            return self._direct(parts[0]) + b"".join(map(self._chunks.__getitem__, islice(parts, 1, None)))
+        except _RunOfSpaces:
             return self._direct(text)
-        parts = text.split(" ")
-        return self._direct(parts[0]) + b"".join(map(self._chunks.__getitem__, islice(parts, 1, None)))
 
     def _chunk(self, part: str) -> bytes:
         """Ids of what stands between two spaces; a word, or one with a full stop or comma, needs no pattern."""
-        space = " " if self._lead else ""
+        if self._lead and (not part or part[0].isspace() or part[-1].isspace()):
+            raise _RunOfSpaces
         if self._lead or part.isascii():
-            part = part if self._lead else part.lower()
             if part.isalpha():
-                return self._pieces[space + part]
+                return self._piece(" " + part if self._lead else part.lower())
             if part[-1:] in (".", ",") and part[:-1].isalpha():
-                return self._pieces[space + part[:-1]] + self._pieces[part[-1]]
-        return self._direct(space + part)
+                return self._chunks[part[:-1]] + self._pieces[part[-1]]
+        return self._direct(" " + part if self._lead else part)
 
     def _direct(self, text: str) -> bytes:
         if not self._lead:
