@@ -17,6 +17,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+#: Below this, letters and numbers are the same in every Unicode version; other chunks are left to the library.
+_PLAIN = "\u0250"
 #: The split patterns of the two vocabulary files, with Unicode's White_Space for \s.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 _WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
@@ -67,7 +69,7 @@ class TextEncoder:
         """Ids of what stands between two spaces; a word, or one with a full stop or comma, needs no pattern."""
         if self._lead and (not part or part[0].isspace() or part[-1].isspace()):
             raise _RunOfSpaces
-        if self._lead or part.isascii():
+        if part.isascii() or self._lead and max(part) < _PLAIN:
             if part.isalpha():
                 return self._piece(" " + part if self._lead else part.lower())
             if part[-1:] in (".", ",") and part[:-1].isalpha():
@@ -75,6 +77,8 @@ class TextEncoder:
         return self._direct(" " + part if self._lead else part)
 
     def _direct(self, text: str) -> bytes:
+        if text and max(text) >= _PLAIN:
+            return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if not self._lead:
             text = text.lower() if text.isascii() else self._norm.normalize_str(text)
         return b"".join(map(self._pieces.__getitem__, self._split(text)))
