@@ -41,7 +41,8 @@ def dataset(spark, sf):
 def _(spark, sf):
     from ..plans.text_scan import text_scan
 
-    t = text_scan(D.spread(D.table(spark, sf, "documents").select("doc_id", "text"))).select("doc_id", F.col("score").alias("s_full"))
+    known = D.table(spark, sf, "documents").join(D.table(spark, sf, "labels"), "doc_id", "left_semi")
+    t = text_scan(D.spread(known.select("doc_id", "text"))).select("doc_id", F.col("score").alias("s_full"))
     lab = D.table(spark, sf, "labels").select("doc_id", (1 - F.col("quality")).alias("y"), "toxic")
     return E.labelled(t, lab, "doc_id").select("doc_id", "y", "toxic", "s_full")
 
@@ -90,9 +91,11 @@ def _(spark, sf):
     return E.fpr_at_tpr(dataset(spark, sf), ["ds"], "y", "s")
 
 
-@query("timing_stats", "SELECT avg(value) AS avg_time, quantile_cont(value, 0.5) AS median_time, quantile_cont(value, 0.95) AS p95_time FROM events", "avg_time median_time p95_time", 6)
+@query("timing_stats", "SELECT avg(v) AS avg_time, quantile_cont(v, 0.5) AS median_time, quantile_cont(v, 0.95) AS p95_time FROM (SELECT CASE WHEN event_id % 5 = 0 THEN 0 ELSE value - 50 END AS v FROM events)", "avg_time median_time p95_time", 6)
 def _(spark, sf):
-    return E.timing_stats(D.events(spark, sf), "value", log_cell(F.col("value")), 2)
+    # zeros and negatives have ranks as well
+    v = F.when(F.col("event_id") % 5 == 0, F.lit(0.0)).otherwise(F.col("value") - 50)
+    return E.timing_stats(D.events(spark, sf).withColumn("v", v), "v", log_cell(F.col("v")), 2)
 
 
 CORE_COLS = {"burstiness": "burstiness_score", "vocabulary": "vocabulary_score", "perplexity": "perplexity_score"}

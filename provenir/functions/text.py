@@ -124,7 +124,9 @@ def _entropies(joined: pd.Series) -> pd.DataFrame:
         out[row, 0] = _entropy_of(counts)
         rank = np.cumsum(counts > 0) - 1
         dense, k = rank[codes], int(rank[-1]) + 1
-        pairs = np.bincount(dense[:-1] * k + dense[1:])
+        code = dense[:-1] * k + dense[1:]
+        # counters for all pairs only while they are fewer than a few for each character
+        pairs = np.bincount(code) if k * k <= 4 * len(codes) + 4096 else np.unique(code, return_counts=True)[1]
         out[row, 1] = _entropy_of(pairs) if len(codes) > 1 else 0.0
     return pd.DataFrame(out, columns=["char_entropy", "bigram_entropy"])
 

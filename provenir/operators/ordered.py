@@ -132,8 +132,14 @@ def unit_cell(v: Column) -> Column:
 
 
 def log_cell(v: Column) -> Column:
-    """Monotone cell of a positive value of any magnitude."""
-    return F.floor(F.log2(v) * (1 << 20))
+    """Monotone cell of any number: by magnitude on either side of zero, zero alone, NaN last; NULL has none."""
+    size = lambda x: F.floor((F.least(F.log2(x), F.lit(1100.0)) + 1100) * (1 << 20)) + 1
+    return (
+        F.when(F.isnan(v), F.lit(1 << 32))
+        .when(v > 0, size(v))
+        .when(v < 0, -size(-v))
+        .when(v == 0, F.lit(0))
+    )
 
 
 def histogram_ranks(
@@ -142,9 +148,10 @@ def histogram_ranks(
     """Distinct values with their rank range ``[lo, hi)`` and the key's total.
 
     Equal values collapse before any shuffle of rows, so a value shared by a
-    third of all rows costs one row per map task.
+    third of all rows costs one row per map task. NULL values have no rank and
+    do not count towards the total; rows with a NULL key belong to no series.
     """
-    hist = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     ranked = prefix_sums(hist, keys, cell, [F.col(value)], {"hi": F.col("n")}, levels)
     ranked = ranked.withColumn("lo", F.col("hi") - F.col("n"))
     if keys:

@@ -33,6 +33,8 @@ def sample_stride(df: DataFrame, key: str, idx: str, max_frames: int = 60) -> Da
 def even_pick(idx: str | Column, n: str | Column, k: int) -> Column:
     """Whether a position belongs to ``k`` evenly spaced, truncated positions."""
     i, total = col(idx), col(n)
+    if k <= 1:
+        return (i == 0) if k == 1 else F.lit(False)
     step = (total - 1) / F.lit(float(k - 1))
     near = F.ceil(i / step)
     hit = F.lit(False)

@@ -303,7 +303,8 @@ def labelled_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Text scores and sub-scores paired with the quality labels."""
     from .text_scan import text_scan
 
-    t = text_scan(spread(table(spark, sf, "documents").select("doc_id", "text", "source", "lang")))
+    known = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left_semi")
+    t = text_scan(spread(known.select("doc_id", "text", "source", "lang")))
     half = [F.coalesce(F.col(f"{k}_score"), F.lit(0.5)).alias(f"{k}_score") for k in ("burstiness", "vocabulary", "perplexity", "repetition", "structure")]
     lab = table(spark, sf, "labels").select(
         "doc_id", (1 - F.col("quality")).alias("y"), "toxic"

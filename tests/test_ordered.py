@@ -147,3 +147,16 @@ def test_moving_average_pads_with_zeros(spark):
     df = spark.createDataFrame([("a", i, x) for i, x in enumerate(v)], "key string, idx bigint, v double")
     got = rows(S.moving_average(df, ["key"], "idx", "v", 3, chunk=2), "idx")
     assert [r["smoothed"] for r in got] == pytest.approx(list(np.convolve(v, np.ones(3) / 3, "same")))
+
+
+def test_quantiles_of_any_number(spark):
+    """Zeros, negatives and infinities have ranks; NULL values do not count."""
+    from provenir.operators.evaluation import timing_stats
+
+    values = [0.0, 0.0, 0.0, 1.0, 2.0, 3.0, 4.0, -5.0, -0.25, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = timing_stats(df, "v", O.log_cell(F.col("v")), 2).first()
+    known = sorted(v for v in values if v is not None)
+    assert got.median_time == 0.0 and abs(got.p95_time - (3 + (4 - 3) * 0.6)) < 1e-9 and abs(got.avg_time - sum(known) / 9) < 1e-12
+    tail = df.unionAll(spark.createDataFrame([(float("inf"),), (float("nan"),)], "v double"))
+    assert tail.select(O.log_cell(F.col("v")).alias("c"), "v").orderBy("v").filter("c is not null").select("c").rdd.map(lambda r: r.c).collect() == sorted(r.c for r in tail.select(O.log_cell(F.col("v")).alias("c")).collect() if r.c is not None)

@@ -85,3 +85,10 @@ def test_dead_letters(spark, tmp_path):
     J.split_failures(J.read_table_stream(spark, src), F.when(F.col("id") < 3, "E"), good, dead, cp).awaitTermination()
     assert spark.read.parquet(good).count() == 7
     assert {r["error_code"] for r in spark.read.parquet(dead).collect()} == {"E"}
+
+
+def test_one_even_sample(spark):
+    from provenir.operators.sampling import sample_even
+
+    df = spark.createDataFrame([("a", k) for k in range(5)] + [("b", 0)], "item string, idx bigint")
+    assert {(r.item, r.idx) for r in sample_even(df, "item", "idx", 1).collect()} == {("a", 0), ("b", 0)}

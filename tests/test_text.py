@@ -82,3 +82,19 @@ def test_run_counts(spark):
 def test_admission_limits(spark):
     df = spark.createDataFrame([("x" * n,) for n in (49, 50, 50_000, 50_001)], "text string")
     assert sorted(len(r["text"]) for r in admit_text(df).collect()) == [50, 50_000]
+
+
+def test_bigram_memory_follows_length():
+    """20,000 distinct characters: pair counts must not take the square of the alphabet."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from provenir.functions.text import _entropies
+
+    text = "".join(chr(0x4E00 + k) for k in range(20_000))
+    tracemalloc.start()
+    out = _entropies(pd.Series([text, "abab"]))
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+    assert abs(out.bigram_entropy[0] - math.log2(19_999)) < 1e-9 and abs(out.char_entropy[1] - 1) < 1e-12
