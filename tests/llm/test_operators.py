@@ -344,3 +344,34 @@ def test_model_learns_and_is_normalised(spark):
     table = lm_scoring.log_probabilities(lm_scoring.train(triples, share))
     assert np.allclose((10.0 ** table[::997].astype(float)).sum(axis=1), 1, atol=1e-4)
     assert table[2 * 256 + 3, 2] > math.log10(share[2]) + 0.1 and table[2 * 256 + 3, 3] < math.log10(share[3])
+
+
+def test_open_lines_of_a_family(spark):
+    """Variants of one line that share segments: all links count, also those away from the hub."""
+    rng = random.Random(6)
+    w = list(prose(rng, 12))
+    rows = []
+    for k in range(60):
+        v = list(w)
+        for _ in range(rng.randint(0, 3)):
+            v[rng.randrange(len(v))] = rng.choice("xyz")
+        rows.append((k, "".join(v).strip()))
+    lines = sorted({t for _, t in rows})
+    top = {x: x for x in lines}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in lines:
+        for b in lines:
+            t = int(line_dedup.distance_for(np.array([min(len(a), len(b))]))[0])
+            if a < b and distance(a, b) <= t:
+                top[root(a)] = root(b)
+    first = {}
+    for k, t in rows:
+        first.setdefault(root(t), k)
+    got = by_doc(line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    for k, t in rows:
+        assert got[k].first_docs == ([] if first[root(t)] == k else [first[root(t)]])
