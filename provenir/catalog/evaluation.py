@@ -21,6 +21,7 @@ def scored(spark, sf):
 FX = {
     "fx": "SELECT event_type AS ds, least(value / 500, 1.0) AS s, (value > 20)::INT AS y FROM events",
     "fy": "SELECT event_type AS ds, round(least(value / 500, 1.0), 4) AS s, (value + user_id > 90)::INT AS y FROM events",
+    "fe": "SELECT event_type AS ds, least(value / 500, 1.0) AS s, (value + user_id > 90)::INT AS y FROM events",
     "hx": "SELECT ds, s, sum(y) AS p, sum(1 - y) AS n FROM fy GROUP BY 1, 2",
     "cx": "SELECT *, sum(p) OVER (PARTITION BY ds ORDER BY s DESC) AS tp, sum(n) OVER (PARTITION BY ds ORDER BY s DESC) AS fp, sum(p) OVER (PARTITION BY ds) AS pp, sum(n) OVER (PARTITION BY ds) AS nn, lead(p) OVER (PARTITION BY ds ORDER BY s DESC) AS lp, lead(n) OVER (PARTITION BY ds ORDER BY s DESC) AS ln_, row_number() OVER (PARTITION BY ds ORDER BY s DESC) AS place, count(*) OVER (PARTITION BY ds) AS pts FROM hx",
     "rocx": "SELECT ds, place, s AS threshold, fp / nn AS fpr, tp / pp AS tpr FROM cx WHERE place = 1 OR place = pts OR pts <= 2 OR lp <> p OR ln_ <> n UNION ALL SELECT DISTINCT ds, 0, NULL, 0.0, 0.0 FROM fy",
@@ -37,6 +38,12 @@ def dataset(spark, sf):
     )
 
 
+def unrounded(spark, sf):
+    """As ``dataset``, with the scores as they are: calibration is fitted on these."""
+    e = D.events(spark, sf)
+    return e.select(F.col("event_type").alias("ds"), F.least(F.col("value") / 500, F.lit(1.0)).alias("s"), (F.col("value") + F.col("user_id") > 90).cast("int").alias("y"))
+
+
 @query("labelled", "SELECT doc_id, y, toxic, s_full FROM lab", "s_full")
 def _(spark, sf):
     from ..plans.text_scan import text_scan
@@ -157,7 +164,7 @@ def _(spark, sf):
 # --- calibration --------------------------------------------------------------------
 
 CAL = {
-    "ch0": "SELECT ds, s, count(*) AS n, sum(y) AS p FROM fy GROUP BY 1, 2",
+    "ch0": "SELECT ds, s, count(*) AS n, sum(y) AS p FROM fe GROUP BY 1, 2",
     "ct": "SELECT unnest(range(1, 50)) / 10 AS temperature",
     "cp": "SELECT ds, temperature, n, p, 1.0 / (1.0 + exp(-ln(s / (1.0 - s + 1e-10) + 1e-10) / temperature)) AS q FROM ch0 CROSS JOIN ct",
     "cb": "SELECT ds, temperature, CASE WHEN q < 1 THEN floor(q * 10) END AS b, sum(n) AS n, sum(q * n) AS sp, sum(p) AS sy FROM cp GROUP BY 1, 2, 3",
@@ -165,29 +172,29 @@ CAL = {
 }
 
 
-@query("ece", "SELECT ds, sum(CASE WHEN b IS NOT NULL THEN abs(sp - sy) ELSE 0.0 END) / sum(n) AS ece, sum(n)::BIGINT AS samples FROM (SELECT ds, CASE WHEN s < 1 THEN floor(s * 10 + 1e-9) END AS b, sum(s) AS sp, sum(y) AS sy, count(*) AS n FROM fy GROUP BY 1, 2) GROUP BY ds", "ece", extra=FX)
+@query("ece", "SELECT ds, sum(CASE WHEN b IS NOT NULL THEN abs(sp - sy) ELSE 0.0 END) / sum(n) AS ece, sum(n)::BIGINT AS samples FROM (SELECT ds, CASE WHEN s < 1 THEN floor(s * 10) END AS b, sum(s) AS sp, sum(y) AS sy, count(*) AS n FROM fe GROUP BY 1, 2) GROUP BY ds", "ece", extra=FX)
 def _(spark, sf):
-    return C.ece(dataset(spark, sf), ["ds"], "s", F.lit(1), F.col("y"))
+    return C.ece(unrounded(spark, sf), ["ds"], "s", F.lit(1), F.col("y"))
 
 
 @query("temperature_grid", "SELECT ds, temperature, ece, samples FROM ce", "temperature ece", extra={**FX, **CAL})
 def _(spark, sf):
-    return C.temperature_grid(dataset(spark, sf), "ds", "s", "y")
+    return C.temperature_grid(unrounded(spark, sf), "ds", "s", "y")
 
 
 @query("temperature_fit", "SELECT ds, arg_min(temperature, (round(ece, 12), temperature)) AS temperature, min(ece) AS ece FROM ce GROUP BY ds", "temperature ece", extra={**FX, **CAL})
 def _(spark, sf):
-    return C.temperature_fit(dataset(spark, sf), "ds", "s", "y")
+    return C.temperature_fit(unrounded(spark, sf), "ds", "s", "y")
 
 
-PLATT = """WITH RECURSIVE fyy AS (SELECT event_type AS ds, round(least(value / 500, 1.0), 4) AS s, (value + user_id > 90)::INT AS y FROM events), hh AS MATERIALIZED (SELECT ds, s, sum(y) / count(*) AS r, count(*) / t AS w FROM (SELECT *, count(*) OVER (PARTITION BY ds) AS t FROM fyy) GROUP BY ds, s, t),
+PLATT = """WITH RECURSIVE fyy AS (SELECT event_type AS ds, least(value / 500, 1.0) AS s, (value + user_id > 90)::INT AS y FROM events), hh AS MATERIALIZED (SELECT ds, s, sum(y) / count(*) AS r, count(*) / t AS w FROM (SELECT *, count(*) OVER (PARTITION BY ds) AS t FROM fyy) GROUP BY ds, s, t),
     g(ds, k, a, b) AS (SELECT DISTINCT ds, 0, -1.0::DOUBLE, 0.0::DOUBLE FROM hh UNION ALL SELECT ds, k + 1, a - 0.01 * sum(e * s * w), b - 0.01 * sum(e * w) FROM
     (SELECT g.ds, k, a, b, s, w, least(greatest(1 / (1 + exp(-(a * s + b))), 1e-7), 1 - 1e-7) - r AS e FROM g JOIN hh ON g.ds = hh.ds WHERE k < 1000) GROUP BY ds, k, a, b) SELECT ds, a, b FROM g WHERE k = 1000"""
 
 
 @query("platt_fit", PLATT, "a b", 7)
 def _(spark, sf):
-    return C.platt_fit(dataset(spark, sf), "ds", "s", "y")
+    return C.platt_fit(unrounded(spark, sf), "ds", "s", "y")
 
 
 FITTED = {
@@ -201,7 +208,7 @@ FITTED = {
 @query("calibrate", "SELECT event_id, cs AS calibrated_score, cc AS calibrated_confidence, abs(cs - 0.5) * 2 * 0.5 + cc * 0.5 AS reliability, 'platt_scaling' AS method FROM cq",
     "calibrated_score calibrated_confidence reliability", 7, extra=FITTED)
 def _(spark, sf):
-    d = dataset(spark, sf)
+    d = unrounded(spark, sf)
     params = C.platt_fit(d, "ds", "s", "y").join(C.temperature_fit(d, "ds", "s", "y").drop("ece"), "ds")
     r = C.calibrate(D.events(spark, sf).select("event_id", F.col("event_type").alias("ds"), (F.col("value") / 500).alias("s"), F.lit(0.8).alias("c")), params, "ds", "s", "c")
     return r.select("event_id", "calibrated_score", "calibrated_confidence", "reliability", "method")

@@ -19,11 +19,11 @@ def stream(spark, sf):
     return e.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("latest_per_key", "SELECT user_id, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%f') AS last_ts, arg_max(event_type, ts) AS event_type, arg_max(value, ts) AS value FROM events GROUP BY 1", "value", 4)
+@query("latest_per_key", "SELECT user_id, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%f') AS last_ts, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1", "value", 4)
 def _(spark, sf):
-    agg = J.latest_per_key(stream(spark, sf), "user_id", "ts", ["event_type", "value"])
-    r = J.run_update(agg, ["user_id"], "latest")
-    return r.withColumn("last_ts", iso_ts("last_ts"))
+    base = scratch_dir(spark, "latest")
+    J.latest_stream(stream(spark, sf), "user_id", ["ts", "event_id"], ["event_type", "value"], base, f"{base}/cp").awaitTermination()
+    return J.read_state(spark, base).select("user_id", iso_ts("ts").alias("last_ts"), "event_type", "value")
 
 
 @query("rate_limit", "SELECT event_type, strftime(date_trunc('minute', ts), '%Y-%m-%dT%H:%M:%S.%f') AS minute, count(*) AS requests, count(*) > 10 AS limited FROM events GROUP BY 1, 2")
@@ -42,11 +42,12 @@ def _(spark, sf):
     return J.run_update(J.live_histogram(stream(spark, sf), ["event_type"], "value", REQUEST_BUCKETS), ["event_type"], "hist")
 
 
-@query("task_state", "SELECT user_id, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%f') AS last_ts, CASE arg_max(event_type, ts) WHEN 'signup' THEN 'STARTED' WHEN 'purchase' THEN 'SUCCESS' ELSE 'PROCESSING' END AS state, arg_max(event_type, ts) AS stage FROM events GROUP BY 1")
+@query("task_state", "SELECT user_id, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%f') AS last_ts, CASE arg_max(event_type, (ts, event_id)) WHEN 'signup' THEN 'STARTED' WHEN 'purchase' THEN 'SUCCESS' ELSE 'PROCESSING' END AS state, arg_max(event_type, (ts, event_id)) AS stage FROM events GROUP BY 1")
 def _(spark, sf):
+    base = scratch_dir(spark, "state")
     state = F.when(F.col("event_type") == "signup", "STARTED").when(F.col("event_type") == "purchase", "SUCCESS").otherwise("PROCESSING")
-    r = J.run_update(J.task_state(stream(spark, sf), "user_id", "ts", state, F.col("event_type")), ["user_id"], "state")
-    return r.withColumn("last_ts", iso_ts("last_ts"))
+    J.task_state(stream(spark, sf), "user_id", ["ts", "event_id"], state, F.col("event_type"), base, f"{base}/cp").awaitTermination()
+    return J.read_state(spark, base).select("user_id", iso_ts("ts").alias("last_ts"), "state", "stage")
 
 
 @query("audit_stream", "SELECT strftime(ts, '%Y%m%d') AS day, 'auth.' || event_type AS event, count(*) AS n FROM events GROUP BY 1, 2")
@@ -72,11 +73,11 @@ def _(spark, sf):
     return scan_view(spark.read.parquet(f"{base}/out"), "doc_id")
 
 
-@query("stream_changes", "SELECT DISTINCT user_id, event_type FROM events")
+@query("stream_changes", "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS NULL OR p <> event_type")
 def _(spark, sf):
     base = scratch_dir(spark, "changes")
-    J.append_stream(J.new_versions(stream(spark, sf), "user_id", "event_type", "ts"), f"{base}/out", f"{base}/cp").awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("user_id", "event_type").distinct()
+    J.change_stream(stream(spark, sf), "user_id", "event_type", ["ts", "event_id"], base, f"{base}/cp").awaitTermination()
+    return spark.read.parquet(f"{base}/changes").select("user_id", "event_id", "event_type")
 
 
 @query("split_failures", "SELECT CASE WHEN value < 1 THEN 'dead_letter' ELSE 'result' END AS route, event_type, count(*) AS n FROM events GROUP BY 1, 2")

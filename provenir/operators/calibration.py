@@ -11,36 +11,61 @@ from ..functions.exprs import clip, logit, sigmoid
 
 MIN_SAMPLES = 10
 BINS = 10
+CELLS = 4096
 TEMPERATURES = [round(0.1 * k, 1) for k in range(1, 50)]
 
 
 def score_histogram(df: DataFrame, group: str, score: str, label: str) -> DataFrame:
     """Distinct scores of each group with row and positive counts.
 
-    Scores carry four decimals, so a group has at most 10,001 rows however
-    many samples it holds.
+    Rows without a score or a label take no part. A score that many rows share
+    is one row of each map task before the shuffle.
     """
-    return df.groupBy(group, F.round(score, 4).alias("score")).agg(
+    known = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    return known.groupBy(group, F.col(score).alias("score")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos")
     )
 
 
+def score_moments(df: DataFrame, group: str, score: str, label: str) -> DataFrame:
+    """Moments of the scores around the middle ``c`` of each of ``CELLS`` cells of a unit.
+
+    A group of scores in [0, 1] has at most ``CELLS`` + 1 rows however many
+    samples it holds; no score is rounded.
+    """
+    known = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).withColumn("_cell", F.floor(F.col(score).cast("double") * CELLS))
+    s, y, c = F.col(score).cast("double"), F.col(label).cast("double"), (F.col("_cell") + 0.5) / CELLS
+    d = s - c
+    return known.groupBy(group, "_cell").agg(
+        F.max(c).alias("c"), F.count(F.lit(1)).alias("n"), F.sum(y).alias("y"), F.sum(y * s).alias("ys"),
+        F.sum(d).alias("m1"), F.sum(d * d).alias("m2"), F.sum(d * d * d).alias("m3"),
+    )
+
+
 def _descend(pdf: pd.DataFrame) -> tuple[float, float]:
-    s = pdf["score"].to_numpy(float)
-    n = pdf["n"].to_numpy(float)
-    share = n / n.sum()
-    y = pdf["pos"].to_numpy(float) / n
+    c, n, m1, m2, m3 = (pdf[k].to_numpy(float) for k in ("c", "n", "m1", "m2", "m3"))
+    total, y, ys = n.sum(), pdf["y"].sum(), pdf["ys"].sum()
     a, b = -1.0, 0.0
     for _ in range(1000):
-        p = np.clip(1.0 / (1.0 + np.exp(-(a * s + b))), 1e-7, 1 - 1e-7)
-        err = (p - y) * share
-        a, b = a - 0.01 * float(err @ s), b - 0.01 * float(err.sum())
+        p = np.clip(1.0 / (1.0 + np.exp(-(a * c + b))), 1e-7, 1 - 1e-7)
+        # derivatives of the curve at the middle of the cell, over the factorials
+        p1 = a * p * (1 - p)
+        p2, p3 = a * p1 * (1 - 2 * p) / 2, a * a * p1 * (1 - 6 * p + 6 * p * p) / 6
+        near = p1 * m1 + p2 * m2 + p3 * m3
+        at_b = (p * n + near).sum() - y
+        at_a = (c * (p * n + near) + p * m1 + p1 * m2 + p2 * m3).sum() - ys
+        a, b = a - 0.01 * float(at_a) / total, b - 0.01 * float(at_b) / total
     return a, b
 
 
 def platt_fit(df: DataFrame, group: str, score: str, label: str) -> DataFrame:
-    """Slope and intercept per group; groups below ten samples give no row."""
-    hist = score_histogram(df, group, score, label)
+    """Slope and intercept per group; groups below ten samples give no row.
+
+    The descent runs on the moments of ``score_moments``. After 1,000 steps of
+    .01 the slope is below 11 in size, so over half a cell the cubic expansion
+    of the curve is off by less than 1e-11. Scores are taken to lie in [0, 1].
+    """
+    cells = score_moments(df, group, score, label)
     kind = df.schema[group].dataType.simpleString()
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -48,7 +73,7 @@ def platt_fit(df: DataFrame, group: str, score: str, label: str) -> DataFrame:
         a, b = _descend(pdf) if enough else (np.nan, np.nan)
         return pd.DataFrame({group: [pdf[group].iloc[0]], "a": [a], "b": [b]})
 
-    fitted = hist.groupBy(group).applyInPandas(fit, f"{group} {kind}, a double, b double")
+    fitted = cells.groupBy(group).applyInPandas(fit, f"{group} {kind}, a double, b double")
     return fitted.filter(F.col("a").isNotNull() & ~F.isnan("a"))
 
 

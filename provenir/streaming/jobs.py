@@ -1,8 +1,11 @@
 """Structured Streaming jobs over the audit and scan streams.
 
-Event time carries a ten-minute watermark, which bounds the state. Aggregating
-jobs run in update mode into an append-only table keyed by batch; ``latest``
-reduces that table to the current value of each key.
+Windowed counts carry a ten-minute watermark, which bounds their state.
+Aggregating jobs run in update mode into an append-only table keyed by batch;
+``latest`` reduces that table to the current value of each key. Jobs that keep
+the last row of a key (``latest_stream``, ``change_stream``) have no state in
+the engine: each batch is merged with a table of one row for each key, and keys
+idle for longer than ``expire`` leave it.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.hashing import iso_ts
+from ..operators.ordered import dense_index, second_cell
+from ..operators.stores import detect_changes
 from ..session import scratch_dir
 from ..sources.sinks import SERVICE, VERSION, with_day
 
@@ -31,11 +36,73 @@ def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, WATERMARK)
 
 
-def latest_per_key(stream: DataFrame, key: str, ts: str, cols: list[str]) -> DataFrame:
-    """Latest row of each key."""
-    best = F.max_by(F.struct(*cols), F.col(ts)).alias("_b")
-    g = event_time(stream, ts).groupBy(key).agg(F.max(ts).alias("last_ts"), best)
-    return g.select(key, "last_ts", *[F.col(f"_b.{c}").alias(c) for c in cols])
+def newest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Last row of each key by the columns of ``order``; partial maxima go into the shuffle."""
+    rest = [c for c in df.columns if c != key]
+    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_b")
+    return df.groupBy(key).agg(best).select(key, *[F.col(f"_b.{c}").alias(c) for c in rest])
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """Newest rows of a state table written by ``write_state``."""
+    t = spark.read.parquet(f"{path}/state")
+    return t.join(F.broadcast(t.agg(F.max("batch_id").alias("batch_id"))), "batch_id").drop("batch_id", "slot")
+
+
+def _before(batch: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """State that the batch before left."""
+    if batch_id == 0:
+        return batch.limit(0)
+    return batch.sparkSession.read.parquet(f"{path}/state/slot={(batch_id - 1) % 2}").select(*batch.columns)
+
+
+def write_state(state: DataFrame, path: str, batch_id: int, ts: str, expire: str | None) -> None:
+    """Write the state after a batch. Two slots take turns, so a batch that is run again still finds what it started from."""
+    if expire:
+        newest_ts = state.agg((F.max(ts) - F.expr(f"INTERVAL {expire}")).alias("_old"))
+        state = state.join(F.broadcast(newest_ts), F.col(ts) >= F.col("_old")).drop("_old")
+    state.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/state/slot={batch_id % 2}")
+
+
+def latest_stream(stream: DataFrame, key: str, order: list[str], cols: list[str], path: str, checkpoint: str, expire: str | None = None) -> StreamingQuery:
+    """Keep the last row of each key in a table (``read_state``).
+
+    ``order``: event time, then columns that break ties. ``expire``: interval
+    such as ``30 days``; a key whose last row is that much older than the
+    newest of all leaves the table.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        both = batch.unionByName(_before(batch, path, batch_id))
+        write_state(newest(both, key, order), path, batch_id, order[0], expire)
+
+    rows = stream.select(key, *dict.fromkeys([*order, *cols]))
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def change_stream(stream: DataFrame, name: str, sha: str, order: list[str], path: str, checkpoint: str, expire: str | None = None) -> StreamingQuery:
+    """Append the rows whose content differs from the last seen of their name to ``path``/changes.
+
+    ``order``: event time, then columns that break ties. The first row of a
+    name is a change, and so is a return to earlier content. Rows at or before
+    the last one seen of their name are late and left out, as are rows without
+    a name or time. A name back after ``expire`` counts as new.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        known = _before(batch, path, batch_id).withColumn("_new", F.lit(False))
+        last = known.select(F.col(name).alias("_n"), F.struct(*order).alias("_last"))
+        fresh = batch.join(last, F.col(name) == F.col("_n"), "left").filter(F.col("_last").isNull() | (F.struct(*order) > F.col("_last")))
+        both = fresh.select(*batch.columns, F.lit(True).alias("_new")).unionByName(known)
+        placed = dense_index(both, [name], second_cell(F.col(order[0])), [F.col(c) for c in order], "_idx")
+        changed = detect_changes(placed, name, "_idx", sha).filter("changed and _new")
+        changed.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/changes/batch_id={batch_id}")
+        write_state(newest(both.drop("_new"), name, order), path, batch_id, order[0], expire)
+        batch.unpersist()
+
+    rows = stream.select(name, *dict.fromkeys([*order, sha]))
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def rate_limit(stream: DataFrame, key: str, ts: str, limit: int = 10) -> DataFrame:
@@ -59,10 +126,10 @@ def live_histogram(stream: DataFrame, dims: list[str], v: str, buckets: tuple[fl
     )
 
 
-def task_state(stream: DataFrame, session: str, ts: str, state: Column, stage: Column) -> DataFrame:
-    """Current state and stage of each session."""
+def task_state(stream: DataFrame, session: str, order: list[str], state: Column, stage: Column, path: str, checkpoint: str, expire: str | None = None) -> StreamingQuery:
+    """Keep the current state and stage of each session."""
     s = stream.withColumns({"state": state, "stage": stage})
-    return latest_per_key(s, session, ts, ["state", "stage"])
+    return latest_stream(s, session, order, ["state", "stage"], path, checkpoint, expire)
 
 
 def audit_entries(stream: DataFrame, ts: str, event: Column, cols: list[str]) -> DataFrame:
@@ -94,11 +161,6 @@ def watch_files(spark: SparkSession, path: str, scan: Callable[[DataFrame], Data
     return append_stream(scan(read_table_stream(spark, path)), out, checkpoint)
 
 
-def new_versions(stream: DataFrame, name: str, sha: str, ts: str) -> DataFrame:
-    """First sight of each (name, content hash); state lasts for the watermark."""
-    return event_time(stream, ts).dropDuplicatesWithinWatermark([name, sha])
-
-
 def update_stream(agg: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append the updates of each batch; a replayed batch overwrites itself."""
 

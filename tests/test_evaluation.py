@@ -109,7 +109,21 @@ def test_platt_descent(sample):
     for _ in range(1000):
         p = np.clip(1 / (1 + np.exp(-(a * s + b))), 1e-7, 1 - 1e-7)
         a, b = a - 0.01 * np.mean((p - y) * s), b - 0.01 * np.mean(p - y)
-    assert (got["small"]["a"], got["small"]["b"]) == pytest.approx((a, b))
+    assert (got["small"]["a"], got["small"]["b"]) == pytest.approx((a, b), rel=1e-9)
+
+
+def test_fit_takes_scores_as_they_are(spark):
+    rng = np.random.default_rng(3)
+    s = np.concatenate([0.5 + rng.random(300) * 2e-4, [0.0, 1.0]])
+    y = (rng.random(len(s)) < 0.3).astype(int)
+    df = spark.createDataFrame([("g", float(v), int(k)) for v, k in zip(s, y)] + [("g", None, 1), ("g", 0.5, None)], "g string, s double, y int")
+    a, b = -1.0, 0.0
+    for _ in range(1000):
+        p = 1 / (1 + np.exp(-(a * s + b)))
+        a, b = a - 0.01 * np.mean((p - y) * s), b - 0.01 * np.mean(p - y)
+    got = C.platt_fit(df, "g", "s", "y").first()
+    assert (got["a"], got["b"]) == pytest.approx((a, b), rel=1e-10)
+    assert C.score_histogram(df, "g", "s", "y").count() == len(set(s))
 
 
 def ece(p, y):

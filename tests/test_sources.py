@@ -75,8 +75,38 @@ def test_rate_limit_and_latest(spark, tmp_path):
     s = J.read_table_stream(spark, src)
     limited = J.run_update(J.rate_limit(s, "user", "ts", 0), ["user", "minute"], "t-rate")
     assert limited.agg(F.sum("requests")).first()[0] == 40 and limited.filter("limited").count() == limited.count()
-    last = rows(J.run_update(J.latest_per_key(J.read_table_stream(spark, src), "user", "ts", ["id"]), ["user"], "t-latest"), "user")
-    assert [r["id"] for r in last] == [39, 37, 38]
+    base = str(tmp_path / "latest")
+    J.latest_stream(J.read_table_stream(spark, src), "user", ["ts", "id"], [], base, f"{base}/cp").awaitTermination()
+    assert [r["id"] for r in rows(J.read_state(spark, base), "user")] == [39, 37, 38]
+
+
+def feed(spark, src, *values):
+    """Append (name, second, content) rows as one file."""
+    df = spark.createDataFrame(values, "name string, s int, sha string")
+    df.select("name", F.timestamp_seconds(1_700_000_000 + F.col("s")).alias("ts"), "s", "sha").coalesce(1).write.mode("append").parquet(src)
+
+
+def test_changes_over_batches(spark, tmp_path):
+    src, base = (str(tmp_path / x) for x in ("src", "out"))
+
+    def run():
+        J.change_stream(J.read_table_stream(spark, src), "name", "sha", ["ts", "s"], base, f"{base}/cp", "1 hour").awaitTermination()
+
+    def seen():
+        return {(r["name"], r["s"], r["sha"]) for r in spark.read.parquet(f"{base}/changes").collect()}
+
+    feed(spark, src, ("a", 1, "A"), ("a", 2, "B"), ("a", 3, "A"), ("b", 1, "X"), ("b", 2, "X"), (None, 1, "X"))
+    run()
+    first = {("a", 1, "A"), ("a", 2, "B"), ("a", 3, "A"), ("b", 1, "X")}
+    assert seen() == first
+    feed(spark, src, ("a", 2, "C"), ("a", 4, "A"), ("b", 3, "Y"), ("b", 4, "X"))  # the first row is late
+    run()
+    second = first | {("b", 3, "Y"), ("b", 4, "X")}
+    assert seen() == second
+    feed(spark, src, ("b", 9000, "X"))
+    run()
+    assert seen() == second
+    assert [r["name"] for r in J.read_state(spark, base).collect()] == ["b"]  # the other one is idle and gone
 
 
 def test_dead_letters(spark, tmp_path):
