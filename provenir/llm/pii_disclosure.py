@@ -1,18 +1,27 @@
 """Personal data, and words that disclose it by what the corpus shows.
 
 Emails, IP addresses, card and phone numbers are found by patterns and checks.
-Each distinct value is a protected entity. For the words near an entity (whole
-words of four letters or more within ``CONTEXT`` code points on either side)
-the corpus tells how much they reveal: with document counts, the pointwise
-mutual information log2(n_et * N / (n_e * n_t)) as a share of the entity's
-information log2(N / n_e). The share is 1 if every document with the word has
-the entity beside it. Words with a share of ``REMOVE_AT`` or more are removed,
-from ``GENERALISE_AT`` on they are generalised to a placeholder; an estimate
-needs ``SUPPORT`` documents. Counts are over all documents; n_e counts documents
-with the entity, n_t with the word, n_et with the word near the entity.
-
-All of it is DataFrame functions. Texts are scanned in place; what is shuffled
-is entities with their contexts, and the counts of words that occur in some.
+Each distinct value is a protected entity; cards and phones are told apart by
+their digits alone. For every word of two letters or more the corpus tells how
+much it reveals of the entities it shares documents with: the pointwise mutual
+information log2(p * N / n_e), with p = n_et / (n_t + ``DOUBT``) the chance of
+the entity in a document with the word, as a share of the entity's information
+log2(N / n_e). n_e counts documents with the entity, n_t with the word, n_et
+with both, at any distance; ``DOUBT`` is an unseen document with the word alone,
+so that an estimate from one document counts less than one from many. A word
+with a share of ``REMOVE_AT`` or more for some entity is removed, from
+``GENERALISE_AT`` on it is generalised to a placeholder, at every place outside
+the base spans where it stands, in all documents.
+
+Entities of the same documents get the same estimate, so they are one class,
+and a document with very many entities of its own has one. As n_et is at most
+n_e, a word with n_t + DOUBT over n_e ** G * N ** (1 - G) (G for
+``GENERALISE_AT``) cannot reach the share: such words are left out before words
+and classes are paired.
+
+All of it is DataFrame functions. Texts are written once with a row number; what
+is shuffled is entities, the words of documents that have some with their
+counts, and the places of words that may be disclosing.
 A run of matches keeps its places by prefix sums in blocks, so a very long
 text with very many matches stays near linear.
 
@@ -34,8 +43,7 @@ from ..session import materialize
 from .catalog import query
 from .common import bind, may_hold, table
 
-CONTEXT = 120
-SUPPORT = 3
+DOUBT = 1
 GENERALISE_AT = 0.7
 REMOVE_AT = 0.9
 
@@ -48,10 +56,12 @@ PATTERNS = {
 }
 #: Text that any match of the kind holds: others are not scanned.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
-WORDS = r"(?<=[^\p{L}])\p{L}{4,}+(?=[^\p{L}])"
+WORDS = r"\p{L}{2,}+"
+#: log2 of the bits by which words are kept out of shuffles.
+BITS = 26
 
 _BLOCK = 128
-_SPAN = "array<struct<start: int, end: int, m: string, left: string, right: string>>"
+_SPAN = "array<struct<start: int, end: int, m: string>>"
 
 
 def running(lengths: Column) -> Column:
@@ -64,7 +74,7 @@ def running(lengths: Column) -> Column:
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """All matches: (start, end, m, left, right) in code points, with the text on either side."""
+    """All matches: (start, end, m) in code points."""
 
     def placed(x: Column) -> Column:
         gaps, found = x["g"], x["m"]
@@ -72,9 +82,7 @@ def spans(text: Column, pattern: str) -> Column:
         return bind(lengths, lambda n: bind(running(n), lambda before: F.transform(found, lambda m, k: F.struct(
             (F.get(before, k) + F.length(F.get(gaps, k))).alias("start"),
             (F.get(before, k) + F.get(n, k)).alias("end"),
-            m.alias("m"),
-            F.substring(F.get(gaps, k), -CONTEXT, CONTEXT).alias("left"),
-            F.substring(F.get(gaps, k + 1), 1, CONTEXT).alias("right")))))
+            m.alias("m")))))
 
     parts = F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
     return bind(parts, lambda x: F.when(F.size(x["m"]) > 0, placed(x)).otherwise(F.array().cast(_SPAN)))
@@ -98,56 +106,83 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """The valid matches of all four kinds: (kind, start, end, m, left, right), by kind and start."""
+    """The valid matches of all four kinds: (kind, start, end, m), by kind and start."""
     return F.concat(*[_of_kind(text, k, kind) for k, kind in enumerate(PATTERNS)])
 
 
 def _of_kind(text: Column, k: int, kind: str) -> Column:
     found = F.when(text.rlike(HINTS[kind]), spans(text, PATTERNS[kind])).otherwise(F.array().cast(_SPAN))
     good = F.filter(found, lambda x: _valid(kind, x["m"]))
-    return F.transform(good, lambda x: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"), x["left"].alias("left"), x["right"].alias("right")))
+    return F.transform(good, lambda x: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m")))
 
 
 def _count(k: int, kind: str) -> Column:
     return F.size(F.filter("base", lambda x: x["kind"] == k)).cast("bigint").alias(f"n_{kind}")
 
 
-def _near(x: Column) -> Column:
-    """Words beside an entity: (entity, term, start, end)."""
-    entity = F.concat_ws(":", x["kind"].cast("string"), F.lower(x["m"]))
-    side = lambda s, at: F.transform(spans(s, WORDS), lambda w: F.struct(entity.alias("entity"), F.lower(w["m"]).alias("term"), (at + w["start"]).alias("start"), (at + w["end"]).alias("end")))
-    return F.concat(side(x["left"], x["start"] - F.length(x["left"])), side(x["right"], x["end"]))
-
-
-def disclosures(scanned: DataFrame, texts: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, support: int = SUPPORT) -> DataFrame:
-    """Rows (entity, term, action): what a word beside an entity has to become (4 generalise, 5 remove)."""
-    near = scanned.select("row", F.inline("near"))
-    joint = near.groupBy("entity", "term").agg(F.countDistinct("row").alias("n_et")).filter(F.col("n_et") >= support)
-    joint = materialize(joint, "pii-joint")
-    entities = scanned.select("row", F.explode(F.array_distinct(F.transform("base", lambda x: F.concat_ws(":", x["kind"].cast("string"), F.lower(x["m"]))))).alias("entity"))
-    n_e = materialize(entities.groupBy("entity").agg(F.count("*").alias("n_e")), "pii-entities")
-    terms = materialize(joint.select("term").distinct(), "pii-terms")
-    seen = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0)))).alias("term"))
-    n_t = may_hold(seen, F.xxhash64("term"), terms, F.xxhash64("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    n_t = materialize(n_t, "pii-counts")
+def _entity(x: Column) -> Column:
+    """Name of the entity of a base span; spellings of a card or phone are one."""
+    digits = x["kind"] >= list(PATTERNS).index("card")
+    return F.concat_ws(":", x["kind"].cast("string"), F.when(digits, F.regexp_replace(x["m"], "[^0-9]", "")).otherwise(F.lower(x["m"])))
+
+
+def _terms(text: Column) -> Column:
+    """Distinct words of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), F.lower))
+
+
+def _classes(scanned: DataFrame) -> DataFrame:
+    """Rows (row, n_e, x, y): the classes of entities in each row; n_e, x and y name the set of rows of a class."""
+    entities = scanned.filter(F.size("base") > 0).select("row", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    entities = materialize(entities, "pii-entities")
+    sets = entities.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
+    return materialize(entities.join(materialize(sets, "pii-sets"), "entity").select("row", "n_e", "x", "y").distinct(), "pii-classes")
+
+
+def disclosures(scanned: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+    """Rows (term, action): what a word has to become (4 generalise, 5 remove)."""
+    classes = _classes(scanned)
     total = scanned.count()
-    share = F.log2(F.col("n_et") * total / (F.col("n_e") * F.col("n_t"))) / F.log2(total / F.col("n_e"))
-    judged = joint.join(n_e, "entity").join(n_t, "term").filter(F.col("n_e") < total).withColumn("share", share)
-    return judged.filter(F.col("share") >= generalise_at).select("entity", "term", F.when(F.col("share") >= remove_at, 5).otherwise(4).alias("action"))
+    told = classes.filter(F.col("n_e") < total)
+    most = told.agg(F.max("n_e")).first()[0] or 0
+    held = told.groupBy("row").agg(F.collect_list(F.struct("n_e", "x", "y")).alias("c"))
+    tokens = scanned.join(held, "row").select("c", F.explode(_terms(F.col("text"))).alias("term"))
+    tokens = materialize(tokens, "pii-tokens")
+    key = F.xxhash64("term")
+    terms = materialize(tokens.select("term").distinct(), "pii-terms")
+    seen = scanned.select(F.explode(_terms(F.col("text"))).alias("term"))
+    n_t = may_hold(seen, key, terms, key, BITS).groupBy("term").agg(F.count("*").alias("n_t"))
+    reach = lambda n: (F.col("n_t") + DOUBT) * (1 - 1e-9) <= F.pow(n, F.lit(generalise_at)) * float(total) ** (1 - generalise_at)
+    n_t = materialize(n_t.filter(reach(F.lit(most))), "pii-counts")
+    pairs = may_hold(tokens, key, n_t, key, BITS).select("term", F.inline("c"))
+    joint = materialize(pairs.groupBy("term", "n_e", "x", "y").agg(F.count("*").alias("n_et")), "pii-joint")
+    share = F.log2(F.col("n_et") * total / (F.col("n_e") * (F.col("n_t") + DOUBT))) / F.log2(total / F.col("n_e"))
+    judged = joint.join(n_t, "term").filter(reach(F.col("n_e"))).groupBy("term").agg(F.max(share).alias("share"))
+    return judged.filter(F.col("share") >= generalise_at).select("term", F.when(F.col("share") >= remove_at, 5).otherwise(4).alias("action"))
+
+
+def _marked(scanned: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (row, terms): the places of disclosing words that no base span covers from their start."""
+    places = scanned.select("row", F.inline(spans(F.col("text"), WORDS))).withColumn("term", F.lower("m")).drop("m")
+    marks = may_hold(places, F.xxhash64("term"), found, F.xxhash64("term"), BITS).join(found, "term").select("row", "start", "end", F.col("action").alias("kind"))
+    marks = materialize(marks, "pii-marks")
+    base = scanned.filter(F.size("base") > 0).select("row", F.inline("base")).select("row", "start", "end", "kind")
+    base = base.join(marks.select("row").distinct(), "row", "left_semi")
+    before = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)  # the window is one document
+    covered = F.coalesce(F.max(F.when(F.col("kind") < len(PATTERNS), F.col("end"))).over(before), F.lit(0))
+    free = marks.unionByName(base).withColumn("_e", covered).filter((F.col("kind") >= len(PATTERNS)) & (F.col("start") >= F.col("_e")))
+    return free.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("terms"))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row for each document: counts, the digest of the base spans, and all spans."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    scanned = texts.withColumn("base", base_spans(F.col("text"))).select("doc_id", F.monotonically_increasing_id().alias("row"), F.transform("base", lambda x: x.dropFields("left", "right")).alias("base"), F.flatten(F.transform("base", _near)).alias("near"))
-    scanned = materialize(scanned, "pii-scanned")
-    found = materialize(disclosures(scanned, texts), "pii-disclosures")
-    near = scanned.select("row", F.inline("near"))
-    terms = near.join(found, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("action").alias("kind"))
-    terms = terms.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("terms"))
+    scanned = materialize(texts.select("doc_id", F.monotonically_increasing_id().alias("row"), base_spans(F.col("text")).alias("base"), "text"), "pii-scanned")
+    found = materialize(disclosures(scanned), "pii-disclosures")
+    terms = _marked(scanned, found)
     names = F.array(*[F.lit(k) for k in KINDS])
     text = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
-    rows = scanned.drop("near").join(terms, "row", "left").withColumns({"_b": text(F.col("base")), "_t": F.coalesce(text(F.col("terms")), F.lit(""))})
+    rows = scanned.drop("text").join(terms, "row", "left").withColumns({"_b": text(F.col("base")), "_t": F.coalesce(text(F.col("terms")), F.lit(""))})
     counts = [_count(k, kind) for k, kind in enumerate(PATTERNS)]
     both = F.concat_ws(",", F.nullif("_b", F.lit("")), F.nullif("_t", F.lit("")))
     return rows.select("doc_id", *counts, F.sha2(F.col("_b").cast("binary"), 256).alias("base_sha256"), both.alias("spans"))

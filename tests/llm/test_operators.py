@@ -168,6 +168,16 @@ def test_disclosing_words(spark):
     assert "zanzibar" not in clean[0].text and "<email>" in clean[0].text and clean[20].text == rows[20][1]
 
 
+def test_disclosing_words_of_rare_entities(spark):
+    """Entities of one and of two documents disclose; the spellings of a card are one entity."""
+    plain = "plain words stand here"
+    texts = ["Some secretive note: boss@corp.example", "first quibble 4111 1111 1111 1111", "second quibble 4111-1111-1111-1111"] + [f"Some first second note {plain}"] * 197
+    got = by_doc(pii_disclosure.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")))
+    kinds = {(k, w): {s.split(":")[0] for s in got[k].spans.split(",") if s.endswith(f":{texts[k].index(w)}:{texts[k].index(w) + len(w)}")} for k, w in ((0, "secretive"), (1, "quibble"), (2, "quibble"))}
+    assert kinds == {(0, "secretive"): {"generalise"}, (1, "quibble"): {"remove"}, (2, "quibble"): {"remove"}}
+    assert got[5].spans == ""
+
+
 ENCODERS = {lead: (TextEncoder(public_tokenizers.path(f), lead), Tokenizer.from_file(public_tokenizers.path(f))) for lead, f in ((True, "byte_bpe_50k.json"), (False, "word_bpe_49k.json"))}
 
 
