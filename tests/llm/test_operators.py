@@ -178,6 +178,17 @@ def test_disclosing_words_of_rare_entities(spark):
     assert got[5].spans == ""
 
 
+def test_disclosing_words_everywhere(spark):
+    """Words count over the whole document and at its edges, short names too, and go wherever they stand."""
+    far = " plain words stand here" * 40
+    texts = ["Ng: boss@corp.example" + far + " Kowalski"] * 5 + ["Kowalski met Ng"] + ["met" + far] * 200
+    got = by_doc(pii_disclosure.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")))
+    n = len(texts[0])
+    assert got[0].spans == f"email:4:21,remove:0:2,remove:{n - 8}:{n}" and got[5].spans == "remove:0:8,remove:13:15" and got[6].spans == ""
+    clean = by_doc(pii_disclosure.sanitised(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")))
+    assert clean[5].text == " met "
+
+
 ENCODERS = {lead: (TextEncoder(public_tokenizers.path(f), lead), Tokenizer.from_file(public_tokenizers.path(f))) for lead, f in ((True, "byte_bpe_50k.json"), (False, "word_bpe_49k.json"))}
 
 
