@@ -5,7 +5,8 @@ ones, if they have more than one line). A unit is normalised: ASCII lower case,
 words joined by single spaces. Its digest is 128 bits. Digests are grouped over
 all documents; the earliest occurrence by (doc_id, start) stays, the others of
 at least ``least`` words are removed, with their place in the original text as
-code points, end exclusive. Units inside a removed paragraph are not listed again.
+code points, end exclusive. The query takes every unit that has a word, so that
+short lines and passages set in short lines are found too. Units inside a removed paragraph are not listed again.
 
 Only digests and places are shuffled. A digest shared by a third of all rows is
 first combined on each side and then joined as rows, which Spark can split.
@@ -90,4 +91,4 @@ def repeated_units(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 @query("op7_substring_dedup")
 def op7(spark, sf_dir):
-    return repeated_units(table(spark, sf_dir, "documents"))
+    return repeated_units(table(spark, sf_dir, "documents"), least=1)

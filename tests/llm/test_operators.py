@@ -305,6 +305,16 @@ def test_substrings(spark):
     assert got == {(2, 0, len(long), 1), (6, 17, 17 + len(long), 1), (7, 3, 18, 6)}
 
 
+def test_short_lines(spark, tmp_path):
+    """The query finds lines of any length, and a passage of short lines inside paragraphs that differ elsewhere."""
+    passage = [prose(random.Random(k), 7) for k in range(8)]
+    texts = ["\n".join(["own start", *passage, "own end"]), "\n".join(["another start", *passage, "another end"]), "Menu\nfirst", "second\n menu", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.start, r.end, r.first_doc) for r in substring_dedup.op7(spark, str(tmp_path)).collect()}
+    starts = [texts[1].index(x) for x in passage]
+    assert got == {(1, s, s + len(x), 0) for s, x in zip(starts, passage)} | {(3, 7, 12, 2)}
+
+
 def test_mixing(docs, empty):
     rows = source_mixing.mixed(docs).collect()
     total = sum(r.size for r in rows)
