@@ -115,16 +115,35 @@ def position(copy: Column) -> Column:
     return F.when(a == 0, u).otherwise((F.sqrt(F.greatest(b * b + 2 * a * u, F.lit(0.0))) - b) / a)
 
 
+def _copies(docs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """A row for each whole copy, with ``_copy`` and ``_position``."""
+    copies = mixture(docs, sizes).filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
+    return copies.withColumn("_position", position(F.col("_copy")))
+
+
 def training_order(docs: DataFrame) -> DataFrame:
     """Whole copies of documents in the order of training, with the columns of ``docs``."""
     names = docs.columns
     sized = docs.select("doc_id", "source", F.struct("*").alias("_doc"), F.size(words(F.col("text"))).cast("bigint").alias("_size"))
     sizes = materialize(sized.select("doc_id", "source", "_size"), "mix-sizes")
-    copies = mixture(sized, sizes).filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
-    placed = copies.select("_doc", position(F.col("_copy")).alias("_position"), "_copy", "_h")
+    placed = _copies(sized, sizes).select("_doc", "_position", "_copy", "_h")
     return placed.repartitionByRange("_position", "_h").sortWithinPartitions("_position", "_h", "_copy").select(*[F.col("_doc")[c].alias(c) for c in names])
 
 
+def training_ranks(docs: DataFrame) -> DataFrame:
+    """One row for each whole copy: (doc_id, copy, position, rank), rank from 0 in the order of training."""
+    sizes = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("_size"))
+    sizes = materialize(sizes, "mix-sizes")
+    order = ["_position", "_h", "_copy"]
+    placed = _copies(sizes, sizes).select("doc_id", *order)
+    spread = materialize(placed.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "mix-order")
+    counts = spread.groupBy("_p").agg(F.count("*").alias("n"))  # one row for each partition
+    before = counts.select("_p", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    ranked = spread.join(F.broadcast(before), "_p").withColumn("rank", F.col("_before") + inside - 1)
+    return ranked.select("doc_id", F.col("_copy").alias("copy"), F.col("_position").alias("position"), "rank")
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """What the mix takes of every document."""
     sizes = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("_size"))
@@ -155,3 +174,16 @@ SELECT doc_id, size, source_size, target, (n * size + part)::BIGINT AS taken, CA
 @query("op8_source_mixing", SQL)
 def op8(spark, sf_dir):
     return mixed(table(spark, sf_dir, "documents"))
+
+
+ORDER_SQL = SQL[: SQL.index("SELECT doc_id, size, source_size, target, (n * size")] + r""",
+c AS (SELECT *, unnest(range(n + CASE WHEN size > 0 AND 2 * part >= size THEN 1 ELSE 0 END)) AS copy FROM u WHERE size > 0),
+v2 AS (SELECT doc_id, a, copy, (copy * source_size + pos + CASE WHEN copy < n THEN size ELSE part END::DOUBLE / 2) / goal AS x FROM c),
+o AS (SELECT doc_id, copy, CASE WHEN a = 0 THEN x ELSE (sqrt(greatest((1 - a / 2) * (1 - a / 2) + 2 * a * x, 0)) - (1 - a / 2)) / a END AS position FROM v2)
+SELECT doc_id, copy::BIGINT AS copy, position, row_number() OVER (ORDER BY position, md5(coalesce(doc_id::VARCHAR, '')), copy) - 1 AS rank FROM o
+"""
+
+
+@query("op8_training_order", ORDER_SQL)
+def op8_order(spark, sf_dir):
+    return training_ranks(table(spark, sf_dir, "documents"))

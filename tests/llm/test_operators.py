@@ -330,6 +330,17 @@ def test_mixing(docs, empty):
     assert source_mixing.mixed(empty).count() == 0
 
 
+def test_training_ranks(docs, empty):
+    """Every whole copy has a place of its own, and ranks follow the places."""
+    rows = sorted(source_mixing.training_ranks(docs).collect(), key=lambda r: r.rank)
+    mixed = source_mixing.mixed(docs).collect()
+    assert [r.rank for r in rows] == list(range(sum(r.copies for r in mixed))) and max(r.copy for r in rows) > 0
+    assert all(a.position <= b.position for a, b in zip(rows, rows[1:]))
+    first = {r.doc_id: r.position for r in rows if r.copy == 0}
+    assert first == {r.doc_id: r.position for r in mixed if r.copies}
+    assert source_mixing.training_ranks(empty).count() == 0
+
+
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=1500))
 @settings(max_examples=40, deadline=None)
 def test_segments(ids):
