@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .catalog import query
 from .common import bind, table, words
 
@@ -111,10 +112,25 @@ def ablation(ledger: DataFrame, version: int = CURRENT) -> DataFrame:
     return one.select(F.inline(rows))
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """Measures and failure bits of every document, written once and read back."""
+    return materialize(with_ledger(docs.select("doc_id", "text")).select("doc_id", *MEASURES, "failure_bits"), "quality-ledger")
+
+
 def quality_report(docs: DataFrame, version: int = CURRENT) -> DataFrame:
-    """Measures and verdict of every document."""
+    """Measures and verdict of every document, from the stored ledger."""
     base = F.col("failure_bits").bitwiseAND(F.lit(mask(BASE))) != 0
-    return with_ledger(docs.select("doc_id", "text")).select("doc_id", *MEASURES, base.alias("base_failed"), (passes(version) & ~base).alias("kept"), "failure_bits")
+    return stored_ledger(docs).select("doc_id", *MEASURES, base.alias("base_failed"), (passes(version) & ~base).alias("kept"), "failure_bits")
+
+
+def ablations(docs: DataFrame) -> DataFrame:
+    """The ablation of every policy version over one stored ledger: ``version`` and the columns of ``ablation``."""
+    ledger = stored_ledger(docs)
+    parts = [ablation(ledger, v).select(F.lit(v).alias("version"), "*") for v in POLICIES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def keep_good(docs: DataFrame, version: int = CURRENT) -> DataFrame:
@@ -144,3 +160,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits
 @query("op2_quality_rules", SQL)
 def op2(spark, sf_dir):
     return quality_report(table(spark, sf_dir, "documents"))
+
+
+_FAILED = "(VALUES (1, 'too_few_words', 1, 3), (1, 'repeated_windows', 2, 3), (2, 'too_few_words', 1, 63), (2, 'repeated_windows', 2, 63), (2, 'short_words', 4, 63), (2, 'long_words', 8, 63), (2, 'symbols', 16, 63), (2, 'duplicate_lines', 32, 63)) AS p(version, rule, m, held)"
+ABLATION_SQL = f"""SELECT version, rule, count(*) FILTER (failure_bits & m <> 0) AS n_failed, count(*) FILTER (failure_bits & held = m) AS n_only,
+  count(*) FILTER (failure_bits & held <> 0) AS n_rejected FROM {_FAILED} LEFT JOIN ({SQL}) AS l ON true GROUP BY version, rule"""
+
+
+@query("op2_policy_ablation", ABLATION_SQL)
+def op2_ablation(spark, sf_dir):
+    return ablations(table(spark, sf_dir, "documents"))

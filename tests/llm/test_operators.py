@@ -133,6 +133,22 @@ def test_quality(docs, texts, empty):
     assert quality_rules.quality_report(empty).count() == 0
 
 
+def test_stored_ledger(docs, empty):
+    """The report reads a stored ledger, and every policy has its ablation from it."""
+    report = quality_rules.quality_report(docs)
+    assert report.inputFiles() and "quality-ledger" in report.inputFiles()[0]
+    bits = [r.failure_bits for r in report.collect()]
+    rows = {(r.version, r.rule): (r.n_failed, r.n_only, r.n_rejected) for r in quality_rules.ablations(docs).collect()}
+    want = {}
+    for v, rules in quality_rules.POLICIES.items():
+        held = quality_rules.mask(rules)
+        for rule in rules:
+            m = quality_rules.mask((rule,))
+            want[v, rule] = (sum(b & m > 0 for b in bits), sum(b & held == m for b in bits), sum(b & held > 0 for b in bits))
+    assert rows == want
+    assert {r.n_rejected for r in quality_rules.ablations(empty).collect()} == {0}
+
+
 KINDS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
