@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.hashing import iso_ts
-from ..operators.stores import REQUEST_BUCKETS
-from ..plans.bindings import few_files
+from ..operators.stores import REQUEST_BUCKETS, active_at, admit
+from ..plans.bindings import events, few_files
 from ..plans.text_scan import text_scan
 from ..session import scratch_dir
 from ..streaming import jobs as J
+from ..streaming import keyed as K
 from .base import query
 from .text import SCAN_SQL, scan_view
 
@@ -88,3 +89,80 @@ def _(spark, sf):
     good = spark.read.parquet(f"{base}/good").select(F.lit("result").alias("route"), "event_type")
     dead = spark.read.parquet(f"{base}/dead").select(F.col("status").alias("route"), "event_type")
     return good.unionByName(dead).groupBy("route", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- keyed state in event-time order -----------------------------------------------
+
+#: One address sends three fifths of all requests.
+ADDRESS_SQL = "CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 'shared' ELSE 'u' || user_id END"
+
+
+def requests(spark, sf):
+    """Requests with their address; most come from one."""
+    shared = F.col("event_type").isin("view", "click", "purchase")
+    address = F.when(shared, "shared").otherwise(F.concat(F.lit("u"), "user_id"))
+    return events(spark, sf).select("event_id", "ts", address.alias("address"))
+
+
+VERDICT_SQL = f"""SELECT event_id, address, n AS requests, n <= 10 AS allowed FROM (SELECT event_id, address,
+    count(*) OVER (PARTITION BY address ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM (SELECT *, {ADDRESS_SQL} AS address FROM events))"""
+
+
+@query("request_verdicts", VERDICT_SQL)
+def _(spark, sf):
+    return admit(requests(spark, sf), "address", "ts", 10, 3600).select("event_id", "address", "requests", "allowed")
+
+
+@query("live_request_verdicts", VERDICT_SQL)
+def _(spark, sf):
+    live = K.replay(requests(spark, sf), "ts", "requests")
+    return K.collected(K.admit_stream(live, "address", "ts", "event_id", "1 minute", 10, 3600), "verdicts").select("event_id", "address", "requests", "allowed")
+
+
+def live_inputs(spark, sf):
+    """Frames of a user's camera; each takes ten minutes for every whole unit of its value."""
+    return events(spark, sf).select("user_id", "event_id", "ts", K.micros_of(F.floor("value") * 600).alias("took"))
+
+
+LIVE = {
+    "li": "SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, to_seconds(floor(value)::BIGINT * 600) AS took FROM events",
+}
+LIVE_SQL = """WITH RECURSIVE run AS (SELECT user_id, event_id, ts, i, ts AS started, ts + took AS finished, 0::BIGINT AS dropped FROM li WHERE i = 1
+    UNION ALL SELECT r.user_id, n.event_id, n.ts, n.i, greatest(n.ts, r.finished), greatest(n.ts, r.finished) + n.took, n.i - r.i - 1 FROM run r,
+    LATERAL (SELECT coalesce(max(struct_pack(ts := li.ts, event_id := li.event_id, i := li.i, took := li.took)) FILTER (li.ts <= r.finished),
+      min(struct_pack(ts := li.ts, event_id := li.event_id, i := li.i, took := li.took))) AS n FROM li WHERE li.user_id = r.user_id AND li.i > r.i) x WHERE n IS NOT NULL)
+    SELECT user_id, event_id, strftime(started, '%Y-%m-%dT%H:%M:%S.%f') AS started, strftime(finished, '%Y-%m-%dT%H:%M:%S.%f') AS finished, dropped FROM run"""
+LIVE_SQL = LIVE_SQL.replace("WITH RECURSIVE", f"WITH RECURSIVE li AS ({LIVE['li']}),", 1)
+
+
+@query("live_scores", LIVE_SQL)
+def _(spark, sf):
+    live = K.replay(live_inputs(spark, sf), "ts", "live-inputs")
+    r = K.collected(K.live_scores(live, "user_id", "ts", "event_id", "took", "1 minute"), "live-scores")
+    return r.select("user_id", "event_id", iso_ts("started").alias("started"), iso_ts("finished").alias("finished"), "dropped")
+
+
+WORK = {
+    "we": "SELECT event_id, ts AS e FROM (SELECT event_id, ts + to_seconds(floor(value)::BIGINT * 60) AS ts FROM events WHERE event_type <> 'error')",
+    "wk": "SELECT event_id, ts AS started, coalesce(e, ts + INTERVAL 30 MINUTE) AS ended, CASE WHEN e IS NULL THEN 'timed_out' ELSE 'finished' END AS outcome FROM (SELECT events.event_id, ts, e FROM events LEFT JOIN we ON we.event_id = events.event_id AND e <= ts + INTERVAL 30 MINUTE)",
+}
+
+
+def outcomes(spark, sf):
+    """Work started by every event; errors never end, and long work ends too late."""
+    e = events(spark, sf).select("event_id", "ts", "event_type", "value")
+    done = F.timestamp_micros(F.unix_micros("ts") + K.micros_of(F.floor("value") * 60))
+    ends = e.filter("event_type <> 'error'").select("event_id", done.alias("done"))
+    starts = K.replay(e.select("event_id", "ts"), "ts", "starts")
+    return K.collected(K.work_outcomes(starts, K.replay(ends, "done", "ends"), "event_id", "ts", "done", "1 minute", "30 minutes"), "outcomes")
+
+
+@query("work_outcomes", "SELECT event_id, strftime(ended, '%Y-%m-%dT%H:%M:%S.%f') AS ended, outcome FROM wk", extra=WORK)
+def _(spark, sf):
+    return outcomes(spark, sf).select("event_id", iso_ts("ended").alias("ended"), "outcome")
+
+
+@query("live_active", """SELECT strftime(instant, '%Y-%m-%dT%H:%M:%S.%f') AS instant, sum(d) OVER (ORDER BY instant)::BIGINT AS active FROM (SELECT instant, sum(d) AS d FROM
+    (SELECT started AS instant, 1 AS d FROM wk UNION ALL SELECT ended, -1 FROM wk) GROUP BY instant)""", extra=WORK)
+def _(spark, sf):
+    return active_at(outcomes(spark, sf), "ts", "ended").select(iso_ts("instant").alias("instant"), "active")

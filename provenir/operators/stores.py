@@ -243,6 +243,29 @@ def active_at(df: DataFrame, start: str, end: str) -> DataFrame:
     return run.select("instant", "active")
 
 
+def admit(df: DataFrame, key: str, ts: str, limit: int = 10, seconds: int = 60) -> DataFrame:
+    """Add ``requests`` and ``allowed``: requests of the key in the last ``seconds``, and whether they stay within the limit.
+
+    The trailing span has both its ends; requests of the same moment count for
+    each other, and refused ones count too. The number is the difference of two
+    running totals, at the request and at the start of its span, so no task ever
+    holds a whole key. Rows without a key or time are not limited.
+    """
+    rows = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    known = F.col(key).isNotNull() & F.col("_us").isNotNull()
+    moments = rows.filter(known).groupBy(key, "_us").agg(F.count(F.lit(1)).alias("_n"))
+    zero = F.lit(0).cast("bigint")
+    line = moments.select(key, F.col("_us").alias("_at"), F.lit(1).alias("_side"), "_n", F.col("_us").alias("_of")).unionByName(
+        moments.select(key, (F.col("_us") - seconds * 1_000_000).alias("_at"), F.lit(0).alias("_side"), zero.alias("_n"), F.col("_us").alias("_of"))
+    )
+    cell = F.floor(F.col("_at") / 1_000_000)
+    run = prefix_sums(line, [key], cell, [F.col("_at"), F.col("_side")], {"_run": F.col("_n")})
+    total = F.sum(F.when(F.col("_side") == 1, F.col("_run")).otherwise(-F.col("_run")))
+    counts = run.groupBy(F.col(key).alias("_key"), F.col("_of")).agg(total.alias("requests"))
+    joined = rows.join(counts, (F.col(key) == F.col("_key")) & (F.col("_us") == F.col("_of")), "left")
+    return joined.select(*df.columns, "requests", F.coalesce(F.col("requests") <= limit, F.lit(True)).alias("allowed"))
+
+
 # --- dimensions ---------------------------------------------------------------------
 
 # Known generators. Key, name, category, family, first seen,
