@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as X
 from ..operators import fusion as U
+from ..operators import long_signals as L
 from ..operators import sampling as P
 from ..operators import series as S
 from ..operators import signals as G
@@ -213,6 +214,32 @@ def _(spark, sf):
     return G.band_strength(D.signals(spark, sf), ["item", "channel"], "sig")
 
 
+@query("pairwise_sync_rows", "SELECT item, channels, sync FROM sy JOIN (SELECT item, channels FROM hr) USING (item)", "sync", extra=SIG)
+def _(spark, sf):
+    return L.pairwise_sync_rows(D.signal_rows(spark, sf), "item", "channel", "t", "v").select("item", "channels", "sync")
+
+
+@query("channel_sync_rows", "SELECT item, ca AS channel, avg(r) AS mean_corr FROM prs GROUP BY 1, 2", "mean_corr", extra=SIG)
+def _(spark, sf):
+    return L.channel_sync_rows(D.signal_rows(spark, sf), "item", "channel", "t", "v")
+
+
+@query("band_peak_rows", "SELECT item, channel, strength, bpm FROM bp", "strength bpm", 7, extra=SIG)
+def _(spark, sf):
+    return L.band_peak_rows(D.signal_rows(spark, sf), "item", "channel", "t", "v")
+
+
+@query("heart_rates_rows", "SELECT item, channels, pulses, mb AS mean_bpm, hc AS hr_consistency, cov AS pulse_coverage FROM hr", "mean_bpm hr_consistency pulse_coverage", 6, extra=SIG)
+def _(spark, sf):
+    r = L.heart_rates_rows(D.signal_rows(spark, sf), "item", "channel", "t", "v")
+    return r.select("item", "channels", "pulses", "mean_bpm", "hr_consistency", "pulse_coverage")
+
+
+@query("band_strength_rows", "SELECT item, channel, pk / (top + 1e-10) AS strength, least(pk * pk / (e + 1e-10) * 5, 1.0) AS quality, k * 30 / 64 * 60 AS bpm FROM bz", "strength quality bpm", 7, extra=SIG)
+def _(spark, sf):
+    return L.band_strength_rows(D.signal_rows(spark, sf), ["item", "channel"], "t", "v")
+
+
 @query("grid_summary", "SELECT item, avg(pk / (top + 1e-10)) AS mean_strength, avg(least(pk * pk / (e + 1e-10) * 5, 1.0)) AS mean_quality, avg((pk / (top + 1e-10) > 0.1)::INT) AS coverage FROM bz GROUP BY item", "mean_strength mean_quality coverage", 7, extra=SIG)
 def _(spark, sf):
     return X.grid_summary(G.band_strength(D.signals(spark, sf), ["item", "channel"], "sig"), "item", "strength", "quality")

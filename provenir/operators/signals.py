@@ -216,7 +216,7 @@ def band_strength(df: DataFrame, keys: list[str], sig: str, fps: float = 30.0) -
     return p.select(
         *keys,
         F.coalesce(peak / (F.col("_top") + 1e-10), F.lit(0.0)).alias("strength"),
-        F.coalesce(F.least(peak * peak / (F.col("_e") + 1e-10) * 5, F.lit(1.0)), F.lit(0.0)).alias("quality"),
+        F.coalesce(F.when(peak.isNotNull(), F.least(peak * peak / (F.col("_e") + 1e-10) * 5, F.lit(1.0))), F.lit(0.0)).alias("quality"),
         F.coalesce(F.col("_pk.k") * F.lit(float(fps)) / F.array_size("_d") * 60, F.lit(0.0)).alias("bpm"),
     )
 

@@ -131,6 +131,11 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
     return vectors(spark, sf).select(F.col("grp").alias("item"), F.col("item").alias("channel"), F.col("vec").alias("sig"))
 
 
+def signal_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The signals as one row for each sample."""
+    return signals(spark, sf).select("item", "channel", F.posexplode("sig").alias("t", "v"))
+
+
 def _frames(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors of a label in id order, as frames t = 0, 1, ..."""
     v = vectors(spark, sf).select(F.col("grp").alias("item"), F.col("item").alias("vec_id"), "vec")
