@@ -211,41 +211,28 @@ def _bags(lines: list[str]) -> np.ndarray:
     return np.bincount(np.repeat(np.arange(len(lines)) * 64, size) + codes, minlength=64 * len(lines)).reshape(-1, 64).astype(np.int32)
 
 
-def _linked(left: list[bytes], right: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The pairs (left[i], right[j]) that link; an edit changes at most two counts of a bag, so most are settled by these."""
+def _near(left: list[bytes], right: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Pairs whose lengths and bags allow a link: an edit changes at most two counts of a bag."""
     la, lb = ([x.decode() for x in side] for side in (left, right))
     na, nb = (np.fromiter(map(len, side), np.int64, len(side)) for side in (la, lb))
     t = distance_for(np.minimum(na[i], nb[j]))
-    near = np.abs(_bags(la)[i] - _bags(lb)[j]).sum(axis=1) <= 2 * t
-    some = np.flatnonzero((np.abs(na[i] - nb[j]) <= t) & near)
-    good = np.zeros(len(i), bool)
-    good[some] = links([la[k] for k in i[some]], [lb[k] for k in j[some]])
-    return good
+    return (np.abs(na[i] - nb[j]) <= t) & (np.abs(_bags(la)[i] - _bags(lb)[j]).sum(axis=1) <= 2 * t)
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, la, lb) that link."""
-    for b in batches:
-        good = links(b.column("la").to_pylist(), b.column("lb").to_pylist())
-        yield b.select(["a", "b"]).filter(pa.array(good))
+def _linked(left: list[bytes], right: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return links([left[k].decode() for k in i.tolist()], [right[k].decode() for k in j.tolist()])
 
 
 def line_classes(texts: DataFrame) -> DataFrame:
     """(node, comp) of every line, by its digest, that links with a different one."""
     buckets = texts.mapInArrow(_buckets, "bucket bigint, item bigint")
 
-    def verifier(items: DataFrame):
+    def loader(items: DataFrame) -> DataFrame:
         some = may_hold(texts.mapInArrow(_lines, "item bigint, line string"), F.col("item"), items, F.col("item"))
-        lines = materialize(some.join(items, "item").groupBy("item").agg(F.min("line").alias("line")), "ld-lines")
-
-        def verify(pairs: DataFrame) -> DataFrame:
-            both = pairs.join(lines.select(F.col("item").alias("a"), F.col("line").alias("la")), "a").join(lines.select(F.col("item").alias("b"), F.col("line").alias("lb")), "b")
-            return both.select("a", "b", "la", "lb").mapInArrow(_verified, "a bigint, b bigint")
-
-        data = lines.select("item", F.octet_length("line").cast("bigint").alias("weight"), F.col("line").cast("binary").alias("data"))
-        return verify, data, _linked
+        lines = some.join(items, "item").groupBy("item").agg(F.min("line").alias("line"))
+        return lines.select("item", F.octet_length("line").cast("bigint").alias("weight"), F.col("line").cast("binary").alias("data"))
 
-    return linked_classes(buckets, verifier, "ld")
+    return linked_classes(buckets, loader, _near, _linked, "ld")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:

@@ -141,52 +141,38 @@ def least_matches(threshold: float, miss: float, step: int, total: int) -> tuple
     return tuple(out)
 
 
-def _pruned(miss: float):
-    bounds = least_matches(THRESHOLD / 100, miss, STEP, MINIMA)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            left, right = _signatures(b.column(2)), _signatures(b.column(3))
-            alive, same = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64)
-            for k, least in enumerate(bounds):
-                s = slice(k * STEP, (k + 1) * STEP)
-                same[alive] += (left[alive, s] == right[alive, s]).sum(axis=1)
-                alive = alive[same[alive] >= least]
-            yield b.select(["a", "b"]).take(pa.array(alive))
-
-    return run
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _data(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (item, text, sig): signature and set as one value."""
     cache = WordHashes()
     for b in (x.slice(k, 256) for x in batches for k in range(0, x.num_rows, 256)):
-        sets = [shingle_set(t, cache).view(np.int64) for t in texts_of(b, "text")]
-        ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-        flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["item", "shingles"])
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signature and set of an item as one value."""
-    for b in batches:
-        data = [s.as_buffer().to_pybytes() + np.asarray(x.values).tobytes() for s, x in zip(b.column(1), b.column(2))]
+        data = [s.as_buffer().to_pybytes() + shingle_set(t, cache).tobytes() for s, t in zip(b.column(2), texts_of(b, "text"))]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(d) for d in data], pa.int64()), pa.array(data, pa.binary())], ["item", "weight", "data"])
 
 
-def _linked(left: list[bytes], right: list[bytes], i: np.ndarray, j: np.ndarray, bounds: tuple[int, ...]) -> np.ndarray:
-    """The same verification for the pairs (left[i], right[j]) of values of ``_joined``."""
+def _near(left: list[bytes], right: list[bytes], i: np.ndarray, j: np.ndarray, bounds: tuple[int, ...]) -> np.ndarray:
+    """Pairs whose sizes allow a link and that no batch of minima prunes."""
+    nx, ny = (np.fromiter(map(len, v), np.int64, len(v)) // 8 - MINIMA // 2 for v in (left, right))
     x, y = (np.frombuffer(b"".join(v[: 4 * MINIMA] for v in side), np.uint32).reshape(-1, MINIMA) for side in (left, right))
-    alive, same = np.arange(len(i)), np.zeros(len(i), np.int64)
+    alive = np.flatnonzero(100 * np.minimum(nx[i], ny[j]) >= THRESHOLD * np.maximum(nx[i], ny[j]))
+    same = np.zeros(len(i), np.int64)
     for k, least in enumerate(bounds):
         s = slice(k * STEP, (k + 1) * STEP)
         same[alive] += (x[i[alive], s] == y[j[alive], s]).sum(axis=1)
         alive = alive[same[alive] >= least]
     good = np.zeros(len(i), bool)
-    for k in alive.tolist():
-        a, b = np.frombuffer(left[i[k]], np.uint64, offset=4 * MINIMA), np.frombuffer(right[j[k]], np.uint64, offset=4 * MINIMA)
-        shared = len(np.intersect1d(a, b, assume_unique=True))
+    good[alive] = True
+    return good
+
+
+def _linked(left: list[bytes], right: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Pairs that link by their full sets."""
+    good = np.zeros(len(i), bool)
+    for k, (p, q) in enumerate(zip(i.tolist(), j.tolist())):
+        a, b = np.frombuffer(left[p], np.uint64, offset=4 * MINIMA), np.frombuffer(right[q], np.uint64, offset=4 * MINIMA)
+        if len(a) > len(b):
+            a, b = b, a
+        at = np.searchsorted(b, a)
+        shared = int((b[np.minimum(at, len(b) - 1)] == a).sum())
         good[k] = 100 * shared >= THRESHOLD * (len(a) + len(b) - shared)
     return good
 
@@ -199,29 +185,18 @@ def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     each = materialize(docs.mapInArrow(_sketches, "doc_id bigint, n bigint, d1 bigint, d2 bigint, sig binary"), "mh-each")
     named = each.filter("doc_id is not null and n > 0")
-    classes = materialize(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("item")), "mh-classes")
-    members = named.select("doc_id", "n", "sig", F.col("d1").alias("_1"), F.col("d2").alias("_2"))
-    firsts = members.join(classes, (F.col("doc_id") == F.col("item")) & (F.col("_1") == F.col("d1")) & (F.col("_2") == F.col("d2")))
-    firsts = materialize(firsts.select("item", "n", "sig", "d1").dropDuplicates(["item", "d1"]), "mh-firsts")
+    firsts = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("item"), F.min_by("sig", "doc_id").alias("sig"))
+    firsts = materialize(firsts, "mh-firsts")
     buckets = firsts.select("item", "sig").mapInArrow(_bands, "bucket bigint, item bigint")
 
-    def verifier(items: DataFrame):
+    def loader(items: DataFrame) -> DataFrame:
         some = may_hold(docs.withColumnRenamed("doc_id", "item"), F.xxhash64("item"), items, F.xxhash64("item")).join(items, "item")
-        sets = materialize(some.select("item", "text").mapInArrow(_sets, "item bigint, shingles array<bigint>"), "mh-sets")
-        sigs = firsts.select("item", "sig")
-
-        def verify(pairs: DataFrame) -> DataFrame:
-            both = pairs.join(sigs.select(F.col("item").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("item").alias("b"), F.col("sig").alias("sb")), "b")
-            alive = materialize(both.select("a", "b", "sa", "sb").mapInArrow(_pruned(miss), "a bigint, b bigint").distinct(), "mh-alive")
-            both = alive.join(sets.select(F.col("item").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("item").alias("a"), F.col("shingles").alias("x")), "a")
-            shared = F.size(F.array_intersect("x", "y"))
-            return both.filter(100 * shared >= THRESHOLD * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
-
-        whole = sigs.join(sets, "item").select("item", "sig", "shingles")
-        data = materialize(whole.mapInArrow(_joined, "item bigint, weight bigint, data binary").dropDuplicates(["item"]), "mh-data")
-        return verify, data, functools.partial(_linked, bounds=least_matches(THRESHOLD / 100, miss, STEP, MINIMA))
+        sigs = firsts.join(items, "item").select("item", "sig").dropDuplicates(["item"])
+        return some.join(sigs, "item").select("item", "text", "sig").mapInArrow(_data, "item bigint, weight bigint, data binary").dropDuplicates(["item"])
 
-    labels = linked_classes(buckets, verifier, "mh").withColumnRenamed("node", "item")
+    near = functools.partial(_near, bounds=least_matches(THRESHOLD / 100, miss, STEP, MINIMA))
+    classes = firsts.select("d1", "d2", "item")
+    labels = linked_classes(buckets, loader, near, _linked, "mh").withColumnRenamed("node", "item")
     rows = each.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").withColumn("item", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("item")))
     rows = rows.join(labels, "item", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "item", "doc_id").alias("component_id"))
     return rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
