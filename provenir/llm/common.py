@@ -135,19 +135,30 @@ def _tile_links(near: Compare, exact: Compare):
 
 
 def _hub_links(near: Compare, exact: Compare):
-    """Links of hubs: rows (hub, list of item, data), the hub's own among them."""
+    """Links of hubs: rows (hub, list of item, data), the hub's own among them; tested together up to a bounded weight."""
+
+    def tested(hubs: list[tuple[int, bytes]], others: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        left, right = [d for _, d in hubs], [d for _, _, d in others]
+        i, j = np.array([k for k, _, _ in others], np.int64), np.arange(len(others))
+        for test in (near, exact):
+            if len(j):
+                good = test(left, right, i, j)
+                i, j = i[good], j[good]
+        return pa.RecordBatch.from_arrays([pa.array([hubs[k][0] for k in i.tolist()], pa.int64()), pa.array([others[k][1] for k in j.tolist()], pa.int64())], ["hub", "item"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hubs, others, weight = [], [], 0
         for batch in batches:
             for r in range(batch.num_rows):
                 hub, every = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-                own, y = [e["data"] for e in every if e["item"] == hub], [e for e in every if e["item"] != hub]
-                dy, j = [e["data"] for e in y], np.arange(len(y))
-                if len(j):
-                    j = j[near(own, dy, np.zeros(len(j), np.int64), j)]
-                if len(j):
-                    j = j[exact(own, dy, np.zeros(len(j), np.int64), j)]
-                yield pa.RecordBatch.from_arrays([pa.array([hub] * len(j), pa.int64()), pa.array([y[k]["item"] for k in j.tolist()], pa.int64())], ["hub", "item"])
+                others += [(len(hubs), e["item"], e["data"]) for e in every if e["item"] != hub]
+                hubs.append((hub, next(e["data"] for e in every if e["item"] == hub)))
+                weight += sum(len(e["data"]) for e in every)
+                if weight >= BLOCK_WEIGHT:
+                    yield tested(hubs, others)
+                    hubs, others, weight = [], [], 0
+        if others:
+            yield tested(hubs, others)
 
     return run
 
@@ -192,7 +203,9 @@ def linked_classes(buckets: DataFrame, loader: Callable[[DataFrame], DataFrame],
     dealt = pairs.join(blocks, "hub").select("hub", "item", _dealt().alias("c"))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("c")
     dealt = dealt.union(blocks.select("hub", F.col("hub").alias("item"), every)).join(data.select("item", "data"), "item")
-    held = dealt.groupBy("hub", "c").agg(F.collect_list(F.struct("item", "data")).alias("y")).select("hub", "y")
+    # Little data, much work: a task for each shuffle partition, which a repartitioning of given number keeps.
+    tasks = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = dealt.repartition(tasks, "hub", "c").groupBy("hub", "c").agg(F.collect_list(F.struct("item", "data")).alias("y")).select("hub", "y")
     links = materialize(held.mapInArrow(_hub_links(near, exact), "hub bigint, item bigint"), f"{name}-links")
 
     top = F.max(F.struct("d", "hub"))
@@ -212,7 +225,8 @@ def linked_classes(buckets: DataFrame, loader: Callable[[DataFrame], DataFrame],
         packed = dealt.groupBy("bucket", "blocks", "c").agg(F.collect_list(F.struct("item", "comp", "data", "buckets")).alias("x"))
         # Each block goes to the tiles it is part of: one with every block of its bucket.
         parts = packed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-        tiles = parts.groupBy("bucket", F.least("c", "o").alias("p"), F.greatest("c", "o").alias("q")).agg(F.collect_list(F.struct("c", "x")).alias("t"))
+        parts = parts.select("bucket", F.least("c", "o").alias("p"), F.greatest("c", "o").alias("q"), "c", "x").repartition(tasks, "bucket", "p", "q")
+        tiles = parts.groupBy("bucket", "p", "q").agg(F.collect_list(F.struct("c", "x")).alias("t"))
         tiles = tiles.select("bucket", "t")
         edges = edges.union(materialize(tiles.mapInArrow(_tile_links(near, exact), "a bigint, b bigint"), f"{name}-more"))
     return components(edges, name)
