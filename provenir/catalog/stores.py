@@ -10,6 +10,7 @@ from ..plans import bindings as D
 from ..session import materialize, scratch_dir
 from ..sources import manifest as M
 from ..sources import sinks as K
+from ..sources.history import HistoryStore
 from .base import query
 
 # --- history -------------------------------------------------------------------
@@ -56,6 +57,26 @@ def _(spark, sf):
     return S.deleted_count(D.history(spark, sf), flagged(spark, sf), "session_id")
 
 
+def stored_history(spark, sf):
+    store = HistoryStore(spark, scratch_dir(spark, "history"))
+    store.add(D.history(spark, sf))
+    return store
+
+
+@query("stored_delete", "SELECT CAST(timestamp AS DATE) AS day, verdict, count(*) AS n, sum(integrity_score) AS score FROM hist WHERE verdict <> 'MANIPULATED' GROUP BY ALL", "score", 2)
+def _(spark, sf):
+    store = stored_history(spark, sf)
+    store.delete(flagged(spark, sf))
+    return store.read().groupBy("day", "verdict").agg(F.count(F.lit(1)).alias("n"), F.sum("integrity_score").alias("score"))
+
+
+@query("stored_retain", "SELECT session_id, verdict FROM hist ORDER BY timestamp DESC, session_id DESC LIMIT 1000")
+def _(spark, sf):
+    store = stored_history(spark, sf)
+    store.retain(1000)
+    return store.read().select("session_id", "verdict")
+
+
 @query("lookup", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7", "o_totalprice", 2)
 def _(spark, sf):
     return S.lookup(D.table(spark, sf, "orders"), "o_custkey", 7).select("o_orderkey", "o_totalprice")

@@ -217,3 +217,22 @@ def robustness(df: DataFrame, setting: str, y: str, prob: str) -> DataFrame:
     """Accuracy under each perturbation setting."""
     hit = ((F.col(prob) > 0.5).cast("int") == F.col(y)).cast("double")
     return df.groupBy(setting).agg(F.count(F.lit(1)).alias("samples"), F.avg(hit).alias("accuracy"))
+
+
+def quantile_sketches(df: DataFrame, dims: list[str], ts: str, v: str, k: int = 200, every: str = "1 minute") -> DataFrame:
+    """A mergeable quantile sketch for each group and span of time: (dims, span, n, sketch).
+
+    For live statistics, in batch or as a streaming aggregation in update mode.
+    Sketches of any spans merge (``merged_quantiles``); with the default ``k`` a
+    quantile's rank is off by about 1.3% at most in 99 of 100 cases, and exact up
+    to ``k`` values. ``timing_stats`` has the exact ones.
+    """
+    g = df.filter(F.col(v).isNotNull()).groupBy(*dims, F.window(F.col(ts), every).alias("_w"))
+    s = g.agg(F.count(v).alias("n"), F.kll_sketch_agg_double(v, F.lit(k)).alias("sketch"))
+    return s.select(*dims, F.col("_w.start").alias("span"), "n", "sketch")
+
+
+def merged_quantiles(sketches: DataFrame, dims: list[str], probs: dict[str, float]) -> DataFrame:
+    """Quantiles of each group from its sketches, one column for each name: (dims, n, names)."""
+    g = sketches.groupBy(*dims).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("_s"))
+    return g.select(*dims, "n", *[F.kll_sketch_get_quantile_double("_s", F.lit(p)).alias(name) for name, p in probs.items()])
