@@ -314,21 +314,92 @@ def test_lines(docs, empty):
     assert line_dedup.repeated_lines(empty).count() == 0
 
 
-def test_substrings(spark):
+def test_substrings(spark, empty):
     long = prose(random.Random(1), 60)
     rows = [(1, "intro\n" + long), (2, long.upper() + "\nother end"), (3, "short one"), (4, "short one"), (5, None), (6, f"a b\nc d e f g h\n\n{long}"), (7, "x\n\na b\nc d e f g h"), (7, "x\n\na b\nc d e f g h")]
-    got = {(r.doc_id, r.start, r.end, r.first_doc) for r in substring_dedup.repeated_units(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got = {(r.doc_id, r.start, r.end, r.first_doc) for r in substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {(2, 0, len(long), 1), (6, 17, 17 + len(long), 1), (7, 3, 18, 6)}
+    assert substring_dedup.repeated_spans(empty).collect() == []
+
+
+def test_substrings_inside_running_text(spark):
+    """A passage in the middle of a line is found by its whole sentences; a lone short line stays."""
+    passage = "tail of one. Alpha beta gamma delta epsilon. Zeta eta theta iota kappa! Lambda mu nu"
+    texts = [f"Some first words {passage} and so on.", f"Other words here {passage} until the end.", "Menu\nfirst", "second\n menu", "a b c d e f. g h\ni j k l", "x\na b c d\ne f. g h i j k l"]
+    got = {(r.doc_id, r.start, r.end, r.n_words, r.n_pieces, r.first_doc) for r in substring_dedup.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    start = texts[1].index("Alpha")
+    assert got == {(1, start, texts[1].index(" Lambda"), 10, 2, 0)}
 
 
 def test_short_lines(spark, tmp_path):
-    """The query finds lines of any length, and a passage of short lines inside paragraphs that differ elsewhere."""
+    """A passage of short lines inside paragraphs that differ elsewhere is one span."""
     passage = [prose(random.Random(k), 7) for k in range(8)]
     texts = ["\n".join(["own start", *passage, "own end"]), "\n".join(["another start", *passage, "another end"]), "Menu\nfirst", "second\n menu", ""]
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {(r.doc_id, r.start, r.end, r.first_doc) for r in substring_dedup.op7(spark, str(tmp_path)).collect()}
-    starts = [texts[1].index(x) for x in passage]
-    assert got == {(1, s, s + len(x), 0) for s, x in zip(starts, passage)} | {(3, 7, 12, 2)}
+    got = {(r.doc_id, r.start, r.end, r.n_words, r.first_doc) for r in substring_dedup.op7(spark, str(tmp_path)).collect()}
+    start = texts[1].index(passage[0])
+    assert got == {(1, start, start + len("\n".join(passage)), 56, 0)}
+
+
+def spans_by_brute_force(docs, least):
+    """Spans from sets of marked pieces, by other means than the operator: split, count, mark."""
+    pieces, units = {}, []
+    for doc, text in docs:
+        at, mine, lines = 0, [], []
+        for line in (text or "").split("\n"):
+            row, rest, base = [], line, at
+            while rest.strip(" \t\r\f\v"):
+                m = re.search(r"[.!?]+(?=[ \t\r\f\v]|$)", rest)
+                end = m.end() if m else len(rest)
+                piece = rest[:end]
+                lead = len(piece) - len(piece.lstrip(" \t\r\f\v"))
+                if piece.strip(" \t\r\f\v"):
+                    row.append((base + lead, base + len(piece.rstrip(" \t\r\f\v")), piece.lower().split()))
+                rest, base = rest[end:], base + end
+            lines.append([len(mine) + k for k in range(len(row))])
+            mine += row
+            at += len(line) + 1
+        pieces[doc] = mine
+        units += [(doc, [k]) for k in range(len(mine))]
+        block = []
+        for row in [*lines, []]:
+            if row:
+                block.append(row)
+                continue
+            if len(block) > 1:
+                units.append((doc, [k for r in block for k in r]))
+            block = []
+    first, marked = {}, set()
+    for doc, ks in units:
+        key = tuple(w for k in ks for w in pieces[doc][k][2])
+        place = (doc, pieces[doc][ks[0]][0])
+        first[key] = min(place, first.get(key, place))
+    for doc, ks in units:
+        key = tuple(w for k in ks for w in pieces[doc][k][2])
+        if (doc, pieces[doc][ks[0]][0]) != first[key]:
+            marked |= {(doc, k) for k in ks}
+    out = set()
+    for doc, mine in pieces.items():
+        k = 0
+        while k < len(mine):
+            e = k
+            while (doc, e) in marked:
+                e += 1
+            n = sum(len(mine[x][2]) for x in range(k, e))
+            if e > k and n >= least:
+                out.add((doc, mine[k][0], mine[e - 1][1], n))
+            k = e + 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_spans_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    bits = ["one two.", "three", "four five six!", "seven eight? nine", " ten", "\n", "\n\n", "eleven twelve thirteen fourteen.", "a.b", "Fifteen SIXTEEN"]
+    docs = [(d, " ".join(rng.choices(bits, k=rng.randint(0, 25)))) for d in range(40)]
+    docs += [(50 + k, "\n".join(rng.choices(["red green", "blue.", "black white grey", ""], k=6))) for k in range(20)]
+    got = {(r.doc_id, r.start, r.end, r.n_words) for r in substring_dedup.repeated_spans(spark.createDataFrame(docs, "doc_id bigint, text string"), 5).collect()}
+    assert got == spans_by_brute_force(docs, 5) and got
 
 
 def test_mixing(docs, empty):
