@@ -37,8 +37,8 @@ from ..session import materialize
 from .catalog import query
 from .common import may_hold, table
 
-#: Words that a span has at least.
-LEAST = 8
+#: Words that a span has at least: about a sentence, as whole sentences are what is found of a passage inside running text.
+LEAST = 16
 
 _LINE = re.compile(r"[^\n]+")
 _PIECE = re.compile(r"[^\x20\x09-\x0D].*?(?:[.!?]+(?=[\x20\x09-\x0D]|$)|$)")

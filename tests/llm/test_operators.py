@@ -317,7 +317,7 @@ def test_lines(docs, empty):
 def test_substrings(spark, empty):
     long = prose(random.Random(1), 60)
     rows = [(1, "intro\n" + long), (2, long.upper() + "\nother end"), (3, "short one"), (4, "short one"), (5, None), (6, f"a b\nc d e f g h\n\n{long}"), (7, "x\n\na b\nc d e f g h"), (7, "x\n\na b\nc d e f g h")]
-    got = {(r.doc_id, r.start, r.end, r.first_doc) for r in substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got = {(r.doc_id, r.start, r.end, r.first_doc) for r in substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id bigint, text string"), 8).collect()}
     assert got == {(2, 0, len(long), 1), (6, 17, 17 + len(long), 1), (7, 3, 18, 6)}
     assert substring_dedup.repeated_spans(empty).collect() == []
 
@@ -326,7 +326,7 @@ def test_substrings_inside_running_text(spark):
     """A passage in the middle of a line is found by its whole sentences; a lone short line stays."""
     passage = "tail of one. Alpha beta gamma delta epsilon. Zeta eta theta iota kappa! Lambda mu nu"
     texts = [f"Some first words {passage} and so on.", f"Other words here {passage} until the end.", "Menu\nfirst", "second\n menu", "a b c d e f. g h\ni j k l", "x\na b c d\ne f. g h i j k l"]
-    got = {(r.doc_id, r.start, r.end, r.n_words, r.n_pieces, r.first_doc) for r in substring_dedup.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    got = {(r.doc_id, r.start, r.end, r.n_words, r.n_pieces, r.first_doc) for r in substring_dedup.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 8).collect()}
     start = texts[1].index("Alpha")
     assert got == {(1, start, texts[1].index(" Lambda"), 10, 2, 0)}
 
