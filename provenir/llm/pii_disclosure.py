@@ -13,15 +13,24 @@ with a share of ``REMOVE_AT`` or more for some entity is removed, from
 ``GENERALISE_AT`` on it is generalised to a placeholder, at every place outside
 the base spans where it stands, in all documents.
 
+A word also has to be with the entity more often than chance explains. Words
+dealt to documents at random give a joint count of n_et or more with a
+probability of at most (n_t * n_e / N) ** n_et / n_et!; times the words and
+entity classes that are looked at (in documents with an entity), that may be
+``CHANCE`` at most. So one shared document proves something in a small corpus
+and nothing in a large one, where a document's rare words are rare for reasons
+of their own.
+
 Entities of the same documents get the same estimate, so they are one class,
-and a document with very many entities of its own has one. As n_et is at most
-n_e, a word with n_t + DOUBT over n_e ** G * N ** (1 - G) (G for
-``GENERALISE_AT``) cannot reach the share: such words are left out before words
-and classes are paired.
+and a document with very many entities of its own has one. Left out before words
+and classes are paired are those that cannot pass, whatever they are paired
+with: words with n_t + DOUBT over n_e ** G * N ** (1 - G) (G for
+``GENERALISE_AT``), as n_et is at most n_e, and words and classes whose best
+case, n_et = n_t = n_e, chance explains.
 
 All of it is DataFrame functions. Texts are written once with a row number; what
-is shuffled is entities, the words of documents that have some with their
-counts, and the places of words that may be disclosing.
+is shuffled is entities, the words of documents that have some, their counts,
+and the places of disclosing words in the texts that hold one.
 A run of matches keeps its places by prefix sums in blocks, so a very long
 text with very many matches stays near linear.
 
@@ -36,6 +45,8 @@ gives no row.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +55,8 @@ from .catalog import query
 from .common import bind, may_hold, table
 
 DOUBT = 1
+#: How many pairs of word and class may reach the joint count by chance, over all that are looked at.
+CHANCE = 0.1
 GENERALISE_AT = 0.7
 REMOVE_AT = 0.9
 
@@ -139,31 +152,44 @@ def _classes(scanned: DataFrame) -> DataFrame:
     return materialize(entities.join(materialize(sets, "pii-sets"), "entity").select("row", "n_e", "x", "y").distinct(), "pii-classes")
 
 
-def disclosures(scanned: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+def disclosures(scanned: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, chance: float = CHANCE) -> DataFrame:
     """Rows (term, action): what a word has to become (4 generalise, 5 remove)."""
-    classes = _classes(scanned)
+    told = _classes(scanned)
     total = scanned.count()
-    told = classes.filter(F.col("n_e") < total)
-    most = told.agg(F.max("n_e")).first()[0] or 0
-    held = told.groupBy("row").agg(F.collect_list(F.struct("n_e", "x", "y")).alias("c"))
-    tokens = scanned.join(held, "row").select("c", F.explode(_terms(F.col("text"))).alias("term"))
-    tokens = materialize(tokens, "pii-tokens")
+    told = told.filter(F.col("n_e") < total)
+    tokens = scanned.filter(F.size("base") > 0).select("row", F.explode(_terms(F.col("text"))).alias("term"))
+    counts = materialize(tokens.groupBy("term").agg(F.count("*").alias("n_told")), "pii-told")
+    tests = max(1, counts.count() * told.select("n_e", "x", "y").distinct().count())
+
+    def beyond_chance(k: Column, n_t: Column, n_e: Column) -> Column:
+        k, both = k.cast("double"), n_t.cast("double") * n_e / max(total, 1)
+        factorial = k * F.log(k) - k + F.log(2 * math.pi * k) / 2  # Stirling's lower bound
+        return math.log(tests) + k * F.log(both) - factorial <= math.log(chance)
+
+    kept = told.filter((F.col("n_e") * math.e >= total) | beyond_chance(F.col("n_e"), F.col("n_e"), F.col("n_e")))
+    kept = materialize(kept, "pii-kept")
+    most = kept.agg(F.max("n_e")).first()[0] or 0
+    reach = lambda n: (F.col("n_t") + DOUBT) * (1 - 1e-9) <= F.pow(n, F.lit(generalise_at)) * float(total) ** (1 - generalise_at)
+    likely = counts.filter((F.col("n_told") * math.e**2 >= total) | beyond_chance(F.col("n_told"), F.col("n_told"), F.col("n_told")))
     key = F.xxhash64("term")
-    terms = materialize(tokens.select("term").distinct(), "pii-terms")
     seen = scanned.select(F.explode(_terms(F.col("text"))).alias("term"))
-    n_t = may_hold(seen, key, terms, key, BITS).groupBy("term").agg(F.count("*").alias("n_t"))
-    reach = lambda n: (F.col("n_t") + DOUBT) * (1 - 1e-9) <= F.pow(n, F.lit(generalise_at)) * float(total) ** (1 - generalise_at)
+    n_t = may_hold(seen, key, likely, key, BITS).groupBy("term").agg(F.count("*").alias("n_t"))
     n_t = materialize(n_t.filter(reach(F.lit(most))), "pii-counts")
-    pairs = may_hold(tokens, key, n_t, key, BITS).select("term", F.inline("c"))
-    joint = materialize(pairs.groupBy("term", "n_e", "x", "y").agg(F.count("*").alias("n_et")), "pii-joint")
+    pairs = may_hold(tokens, key, n_t, key, BITS).join(kept, "row")
+    joint = pairs.groupBy("term", "n_e", "x", "y").agg(F.count("*").alias("n_et"))
     share = F.log2(F.col("n_et") * total / (F.col("n_e") * (F.col("n_t") + DOUBT))) / F.log2(total / F.col("n_e"))
-    judged = joint.join(n_t, "term").filter(reach(F.col("n_e"))).groupBy("term").agg(F.max(share).alias("share"))
+    judged = joint.join(n_t, "term").filter(reach(F.col("n_e")) & beyond_chance(F.col("n_et"), F.col("n_t"), F.col("n_e")))
+    judged = judged.groupBy("term").agg(F.max(share).alias("share"))
     return judged.filter(F.col("share") >= generalise_at).select("term", F.when(F.col("share") >= remove_at, 5).otherwise(4).alias("action"))
 
 
 def _marked(scanned: DataFrame, found: DataFrame) -> DataFrame:
     """Rows (row, terms): the places of disclosing words that no base span covers from their start."""
-    places = scanned.select("row", F.inline(spans(F.col("text"), WORDS))).withColumn("term", F.lower("m")).drop("m")
+    words = scanned.select("row", F.explode(_terms(F.col("text"))).alias("term"))
+    holders = may_hold(words, F.xxhash64("term"), found, F.xxhash64("term"), BITS).join(found, "term", "left_semi")
+    holders = materialize(holders.select("row").distinct(), "pii-holders")
+    texts = may_hold(scanned, F.xxhash64("row"), holders, F.xxhash64("row"), BITS)  # places only in texts that hold such a word
+    places = texts.select("row", F.inline(spans(F.col("text"), WORDS))).withColumn("term", F.lower("m")).drop("m")
     marks = may_hold(places, F.xxhash64("term"), found, F.xxhash64("term"), BITS).join(found, "term").select("row", "start", "end", F.col("action").alias("kind"))
     marks = materialize(marks, "pii-marks")
     base = scanned.filter(F.size("base") > 0).select("row", F.inline("base")).select("row", "start", "end", "kind")
