@@ -15,11 +15,10 @@ the base spans where it stands, in all documents.
 
 A word also has to be with the entity more often than chance explains. Words
 dealt to documents at random give a joint count of n_et or more with a
-probability of at most (n_t * n_e / N) ** n_et / n_et!; times the words and
-entity classes that are looked at (in documents with an entity), that may be
-``CHANCE`` at most. So one shared document proves something in a small corpus
-and nothing in a large one, where a document's rare words are rare for reasons
-of their own.
+probability of at most (n_t * n_e / N) ** n_et / n_et!; times the different words
+of the corpus (its estimate by a sketch), that may be ``CHANCE`` at most. So one
+shared document proves something in a small corpus and nothing in a large one,
+in which a document has rare words anyway.
 
 Entities of the same documents get the same estimate, so they are one class,
 and a document with very many entities of its own has one. Left out before words
@@ -55,7 +54,7 @@ from .catalog import query
 from .common import bind, may_hold, table
 
 DOUBT = 1
-#: How many pairs of word and class may reach the joint count by chance, over all that are looked at.
+#: How many words of the corpus may reach a joint count with one entity class by chance.
 CHANCE = 0.1
 GENERALISE_AT = 0.7
 REMOVE_AT = 0.9
@@ -159,7 +158,7 @@ def disclosures(scanned: DataFrame, generalise_at: float = GENERALISE_AT, remove
     told = told.filter(F.col("n_e") < total)
     tokens = scanned.filter(F.size("base") > 0).select("row", F.explode(_terms(F.col("text"))).alias("term"))
     counts = materialize(tokens.groupBy("term").agg(F.count("*").alias("n_told")), "pii-told")
-    tests = max(1, counts.count() * told.select("n_e", "x", "y").distinct().count())
+    tests = max(1, scanned.select(F.explode(_terms(F.col("text"))).alias("term")).agg(F.approx_count_distinct("term")).first()[0])
 
     def beyond_chance(k: Column, n_t: Column, n_e: Column) -> Column:
         k, both = k.cast("double"), n_t.cast("double") * n_e / max(total, 1)
