@@ -13,6 +13,7 @@ from ..session import scratch_dir
 from ..streaming import jobs as J
 from ..streaming import keyed as K
 from .base import query
+from .stores import VER, versions
 from .text import SCAN_SQL, scan_view
 
 
@@ -120,6 +121,13 @@ def _(spark, sf):
     return K.collected(K.admit_stream(live, "address", "ts", "event_id", "1 minute", 10, 3600), "verdicts").select("event_id", "address", "requests", "allowed")
 
 
+@query("live_weights", "SELECT event_id, version, coalesce(b, 0.33) AS biosignal, coalesce(a, 0.33) AS artifact, coalesce(l, 0.34) AS alignment FROM events ASOF LEFT JOIN vg ON events.ts >= vg.vf", "biosignal artifact alignment", extra=VER)
+def _(spark, sf):
+    scans = K.replay(events(spark, sf).select("event_id", "ts"), "ts", "scans")
+    published = K.replay(versions(spark, sf), "valid_from", "versions")
+    return K.collected(K.weights_stream(scans, published, "event_id", "ts", "valid_from", "1 minute", 16), "live-weights")
+
+
 def live_inputs(spark, sf):
     """Frames of a user's camera; each takes ten minutes for every whole unit of its value."""
     return events(spark, sf).select("user_id", "event_id", "ts", K.micros_of(F.floor("value") * 600).alias("took"))

@@ -128,11 +128,18 @@ def _(spark, sf):
     )
 
 
-@query("text_scan_conversations", "SELECT conv_id, turn, length(text)::BIGINT AS n_chars, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))::BIGINT AS word_count FROM conversations")
+#: Turns of conversations in place of documents.
+TURN = "conv_id || ':' || turn"
+TURNS = {
+    "tok": rf"SELECT {TURN} AS doc_id, conv_id AS source, turn AS lang, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w, text FROM conversations",
+    "sn0": rf"SELECT {TURN} AS doc_id, unnest(string_split_regex(text, '[.!?]+')) AS s FROM conversations",
+}
+
+
+@query("text_scan_conversations", SCAN_SQL.format(id="source AS conv_id, lang AS turn"), "score confidence", extra=TURNS)
 def _(spark, sf):
-    c = table(spark, sf, "conversations").withColumn("n_chars", F.length("text").cast("bigint"))
-    r = text_scan(c.select("conv_id", "turn", "text", "n_chars"), "conv_id")
-    return r.select("conv_id", "turn", "n_chars", F.col("word_count").cast("bigint").alias("word_count"))
+    c = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
+    return scan_view(text_scan(c, "conv_id"), "conv_id", "turn")
 
 
 @query("text_verdict", """SELECT CASE WHEN score > 0.65 THEN 'AI_GENERATED' WHEN score > 0.35 THEN 'UNCERTAIN' ELSE 'HUMAN_WRITTEN' END AS verdict,

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import safe_div
+from ..session import materialize
 from .ordered import CHUNK, own_rows, prefix_sums, quantiles, unit_cell, with_halo
 
 # Score mixes of the ablation study.
@@ -60,7 +61,7 @@ def classification_metrics(df: DataFrame, keys: list[str], y: str, score: str, t
 def _collapsed(df: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:
     hit = (F.col(y) == 1).cast("bigint")
     return df.groupBy(*keys, F.col(score).alias("score")).agg(
-        F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg")
+        F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"), F.count(F.lit(1)).alias("rows")
     )
 
 
@@ -87,26 +88,37 @@ def _with_totals(r: DataFrame, keys: list[str]) -> DataFrame:
     return r.withColumn("_t", t).select(*r.columns, "_t.p", "_t.n", "_t.points")
 
 
+def _areas() -> dict[str, Column]:
+    """Both areas as aggregates over the ranked scores of a group; 0 with one class."""
+    p, n = F.max("tp"), F.max("fp")
+    pairs = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
+    steps = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    return {
+        "auc_roc": safe_div(pairs, (p * n).cast("double")),
+        "auc_pr": F.when((p > 0) & (n > 0), steps / p).otherwise(0.0),
+    }
+
+
 def auc_roc(df: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:
     """Area under the ROC curve with ties averaged; 0 with one class."""
     r = ranked_scores(df, keys, y, score)
-    pairs = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
-    g = r.groupBy(*keys).agg(pairs.alias("_w"), F.max("tp").alias("_p"), F.max("fp").alias("_n"))
-    return g.select(*keys, safe_div(F.col("_w"), (F.col("_p") * F.col("_n")).cast("double")).alias("auc_roc"))
+    return r.groupBy(*keys).agg(_areas()["auc_roc"].alias("auc_roc"))
 
 
 def auc_pr(df: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:
     """Average precision: recall steps times precision; 0 with one class."""
     r = ranked_scores(df, keys, y, score)
-    step = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    g = r.groupBy(*keys).agg(step.alias("_w"), F.max("tp").alias("_p"), F.max("fp").alias("_n"))
-    both = (F.col("_p") > 0) & (F.col("_n") > 0)
-    return g.select(*keys, F.when(both, F.col("_w") / F.col("_p")).otherwise(0.0).alias("auc_pr"))
+    return r.groupBy(*keys).agg(_areas()["auc_pr"].alias("auc_pr"))
 
 
 def roc_points(df: DataFrame, keys: list[str], y: str, score: str, chunk: int = CHUNK) -> DataFrame:
     """ROC curve without the points that lie on a straight run."""
-    r = ranked_scores(df, keys, y, score)
+    ends = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    return _curve(ranked_scores(df, keys, y, score), ends, keys, chunk)
+
+
+def _curve(r: DataFrame, ends: DataFrame, keys: list[str], chunk: int = CHUNK) -> DataFrame:
+    """ROC curve of ranked scores; ``ends`` has a row for each group."""
     cut, w = with_halo(r, keys, "place", 0, 1, chunk)
     near = own_rows(
         cut.withColumns({"_np": F.lead("pos").over(w), "_nn": F.lead("neg").over(w)})
@@ -118,7 +130,6 @@ def roc_points(df: DataFrame, keys: list[str], y: str, score: str, chunk: int =
         safe_div(F.col("fp"), F.col("n")).alias("fpr"), safe_div(F.col("tp"), F.col("p")).alias("tpr"),
     ]
     curve = t.filter(keep).select(*keys, "place", F.col("score").alias("threshold"), *rates)
-    ends = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
     start = ends.select(
         *keys, F.lit(0).cast("bigint").alias("place"), F.lit(None).cast("double").alias("threshold"),
         F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
@@ -143,12 +154,14 @@ def pr_points(df: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:
 
 def fpr_at_tpr(df: DataFrame, keys: list[str], y: str, score: str, targets: tuple[float, ...] = (0.90, 0.95, 0.99)) -> DataFrame:
     """False positive rate at the curve point nearest each target recall."""
-    pts = roc_points(df, keys, y, score)
-    aggs = [
+    return roc_points(df, keys, y, score).groupBy(*keys).agg(*_nearest(targets))
+
+
+def _nearest(targets: tuple[float, ...]) -> list[Column]:
+    return [
         F.min_by("fpr", F.struct(F.abs(F.col("tpr") - t), F.col("place"))).alias(f"fpr_at_tpr_{round(t * 100)}")
         for t in targets
     ]
-    return pts.groupBy(*keys).agg(*aggs)
 
 
 def timing_stats(df: DataFrame, v: str, cell: Column, levels: int = 1) -> DataFrame:
@@ -158,22 +171,43 @@ def timing_stats(df: DataFrame, v: str, cell: Column, levels: int = 1) -> DataFr
     return q.withColumn("avg_time", mean)
 
 
-def all_metrics(df: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:
-    """The complete metric row of each group."""
-    parts = [
-        classification_metrics(df, keys, y, score),
-        auc_roc(df, keys, y, score),
-        auc_pr(df, keys, y, score),
-        fpr_at_tpr(df, keys, y, score),
-    ]
-    return reduce(lambda a, b: a.join(b, keys), parts)
+def all_metrics(
+    df: DataFrame, keys: list[str], y: str, score: str, targets: tuple[float, ...] = (0.90, 0.95, 0.99), threshold: float = 0.5
+) -> DataFrame:
+    """The complete metric row of each group, from one ranking of its scores.
+
+    The ranked table (one row for each distinct score) is stored once; the
+    confusion counts, both areas and the curve are read from it. Rows without
+    a score or a label count as samples only.
+    """
+    known = F.col(score).isNotNull() & F.col(y).isNotNull()
+    left = df.filter(~known).groupBy(*keys).agg(F.count(F.lit(1)).alias("_left"))
+    r = materialize(ranked_scores(df.filter(known), keys, y, score), "ranked")
+    high = F.col("score") >= threshold
+
+    def n(cond: Column, count: str) -> Column:
+        return F.sum(F.when(cond, F.col(count)).otherwise(0))
+
+    g = r.groupBy(*keys).agg(
+        F.sum("rows").alias("samples"), n(high, "pos").alias("tp"), n(high, "neg").alias("fp"),
+        n(~high, "pos").alias("fn"), n(~high, "neg").alias("tn"), *[c.alias(k) for k, c in _areas().items()],
+    )
+    points = _curve(r, r.select(*keys).distinct(), keys).groupBy(*keys).agg(*_nearest(targets))
+    g = g.join(points, keys).join(left, keys, "left")
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    scores = {
+        "accuracy": (tp + tn) / F.col("samples"), "precision": safe_div(tp, tp + fp),
+        "recall": safe_div(tp, tp + fn), "f1": safe_div(2 * tp, 2 * tp + fp + fn),
+    }
+    g = g.withColumn("samples", F.col("samples") + F.coalesce("_left", F.lit(0))).withColumns(scores)
+    rest = ["auc_roc", "auc_pr", *[c for c in points.columns if c not in keys]]
+    return g.select(*keys, "samples", "tp", "fp", "fn", "tn", *scores, *rest)
 
 
 def per_core_metrics(df: DataFrame, y: str, scores: dict[str, str]) -> DataFrame:
     """Accuracy and AUC of each core's score column."""
     long = stack_scores(df, [y], {k: F.col(v) for k, v in scores.items()}, "core")
-    m = classification_metrics(long, ["core"], y, "score").select("core", "samples", "accuracy")
-    return m.join(auc_roc(long, ["core"], y, "score"), "core")
+    return all_metrics(long, ["core"], y, "score").select("core", "samples", "accuracy", "auc_roc")
 
 
 def stack_scores(df: DataFrame, keep: list[str], scores: dict[str, Column], name: str) -> DataFrame:
@@ -191,10 +225,7 @@ def ablation(df: DataFrame, y: str, columns: dict[str, str]) -> DataFrame:
         terms = [F.col(columns[k]) * wt for k, wt in parts.items()]
         mixes[name] = reduce(lambda a, b: a + b, terms)
     long = stack_scores(df, [y], mixes, "config")
-    m = classification_metrics(long, ["config"], y, "score").select("config", "accuracy")
-    j = m.join(auc_roc(long, ["config"], y, "score"), "config").join(
-        fpr_at_tpr(long, ["config"], y, "score", (0.95,)), "config"
-    )
+    j = all_metrics(long, ["config"], y, "score", (0.95,)).select("config", "accuracy", "auc_roc", "fpr_at_tpr_95")
     best = j.agg(F.max(F.when(F.col("config").isin(*SINGLE), F.col("auc_roc")))).scalar()
     gain = F.when(F.col("config") == "FULL FUSION", F.col("auc_roc") - F.col("_best"))
     return j.withColumn("_best", best).withColumn("fusion_delta", gain).drop("_best")

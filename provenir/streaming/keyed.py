@@ -18,8 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.stores import BASE_WEIGHTS, CORES, valid_weights
 from ..session import scratch_dir
 
+#: Micros after which a state that is never dropped is looked at again.
+FOREVER = 3650 * 86_400_000_000
+
 #: ``advance(memory, rows, now)`` takes ready rows (micros, id, ...) in order and the watermark in
 #: micros; it changes ``memory`` and returns output rows and the micros from which it wants to go on
 #: without new rows (None: never).
@@ -137,6 +141,34 @@ def admit_stream(stream: DataFrame, key: str, ts: str, request: str, delay: str,
     return in_order(s, key, ts, ["_id"], delay, f"{request} {stream.schema[request].dataType.simpleString()}, requests bigint, allowed boolean", advance)
 
 
+def weights_stream(scans: DataFrame, versions: DataFrame, scan: str, ts: str, valid_from: str, delay: str, shards: int = 64) -> DataFrame:
+    """Weights in force at each scan: (scan, version, weights), as ``operators.stores.weights_as_of`` gives them in batch.
+
+    Both sides are streams under one watermark, so a version that comes late, but
+    within ``delay``, still counts. Scans are dealt into ``shards`` by a hash;
+    every shard gets all versions and keeps the one in force and those to come.
+    """
+    shard = F.pmod(F.xxhash64(scan), F.lit(shards)).cast("int")
+    good = valid_weights(versions).filter("is_valid")
+    packed = F.to_json(F.array(*[F.col(k).cast("double") for k in CORES]))
+    v = good.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"), F.col(valid_from).alias("_ts"), F.lit(0).alias("_kind"), F.col("version").alias("_name"), packed.alias("_w"))
+    s = scans.select(shard.alias("_shard"), F.col(ts).alias("_ts"), F.lit(1).alias("_kind"), F.col(scan).cast("string").alias("_name"), F.lit("").alias("_w"))
+    base = [float(BASE_WEIGHTS[k]) for k in CORES]
+
+    def advance(m: dict, rows: list, now: int) -> tuple[list, int | None]:
+        out = []
+        for _, kind, name, w in rows:  # at one moment versions come first, the last of them by name counts
+            if kind == 0:
+                m["now"] = [name, *json.loads(w)]
+            else:
+                out.append((name, *m.get("now", [None, *base])))
+        return out, now + FOREVER if "now" in m else None
+
+    weights = ", ".join(f"{k} double" for k in CORES)
+    got = in_order(v.unionByName(s), "_shard", "_ts", ["_kind", "_name", "_w"], delay, f"_scan string, version string, {weights}", advance)
+    return got.select(F.col("_scan").cast(scans.schema[scan].dataType).alias(scan), "version", *CORES)
+
+
 def work_outcomes(starts: DataFrame, ends: DataFrame, key: str, started: str, ended: str, delay: str, limit: str) -> DataFrame:
     """Every piece of work with its end: (key, started, ended, outcome), one row once it is known.
 
