@@ -9,6 +9,7 @@ from ..operators import stores as S
 from ..plans import bindings as D
 from ..session import materialize, scratch_dir
 from ..sources import manifest as M
+from ..sources import objects as O
 from ..sources import sinks as K
 from ..sources.history import HistoryStore
 from .base import query
@@ -407,6 +408,30 @@ def _(spark, sf):
     return r.groupBy("result_key").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
 
 
+def beside(spark, sf):
+    """A result for each language and source of documents, written beside its source."""
+    root = scratch_dir(spark, "beside")
+    d = D.table(spark, sf, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    O.write_beside(d, F.concat("lang", F.lit("/"), "source", F.lit(".txt")), F.struct("n", "chars"), root)
+    return root
+
+
+BESIDE = "SELECT lang || '/' || source || '_result.json' AS key, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang, source"
+
+
+@query("results_beside", BESIDE)
+def _(spark, sf):
+    root = beside(spark, sf)
+    r = spark.read.schema("n bigint, chars bigint").option("recursiveFileLookup", "true").json(root)
+    return r.select(F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+)$", 1).alias("key"), "n", "chars")
+
+
+@query("object_listing", f"""SELECT key, strlen('{{"n":' || n || ',"chars":' || chars || '}}')::BIGINT AS size FROM ({BESIDE}) WHERE key LIKE 'e%'""")
+def _(spark, sf):
+    listed = O.objects(spark, beside(spark, sf))
+    return listed.filter(F.col("key").startswith("e") & F.col("key").endswith("_result.json")).select("key", "size")
+
+
 def audit_rows(spark, sf):
     e = D.events(spark, sf).select(
         "ts", F.col("event_id").cast("string").alias("session_id"), F.concat(F.lit("u"), "user_id").alias("user"), F.col("event_type").alias("action"),

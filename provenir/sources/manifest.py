@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col
+from .objects import opened
+
+#: Bytes up to which a file is hashed as one value, and of a piece of longer ones.
+WHOLE = 128 << 20
+PIECE = 8 << 20
 
 # Accepted file extensions.
 VIDEO_EXTS = (".mp4", ".avi", ".mov", ".mkv", ".webm")
@@ -91,9 +100,28 @@ def split_counts(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("split", "label").agg(F.count(F.lit(1)).alias("samples"))
 
 
-def file_inventory(spark: SparkSession, root: str, exts: tuple[str, ...] = WEIGHT_EXTS) -> DataFrame:
-    """Names and content hashes of model files."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return raw.filter(extension("path").isin(*exts)).select(
-        file_name("path").alias("name"), "length", F.sha2("content", 256).alias("sha256")
-    )
+def file_inventory(spark: SparkSession, root: str, exts: tuple[str, ...] = WEIGHT_EXTS, whole: int = WHOLE) -> DataFrame:
+    """Names and content hashes of model files of any length.
+
+    Files of up to ``whole`` bytes are hashed as values; longer ones are read by
+    a task in chunks, through ``pyarrow.fs``, and never held as one value.
+    Spark's file sources list no empty files; ``objects`` does.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(extension("path").isin(*exts))
+    small = raw.filter(F.col("length") <= whole).select(file_name("path").alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    large = raw.filter(F.col("length") > whole).select(file_name("path").alias("name"), "length", "path")
+    return small.unionByName(large.mapInPandas(_hashed, "name string, length bigint, sha256 string"))
+
+
+def _hashed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in parts:
+        yield p.assign(sha256=[_sha256(x) for x in p["path"]])[["name", "length", "sha256"]]
+
+
+def _sha256(path: str) -> str:
+    fs, name = opened(path)
+    total = hashlib.sha256()
+    with fs.open_input_stream(name) as f:
+        while chunk := f.read(PIECE):
+            total.update(chunk)
+    return total.hexdigest()

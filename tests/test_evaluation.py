@@ -159,3 +159,20 @@ def test_unfitted_groups_stay_as_they_are(spark):
     r = C.calibrate(df, params, "g", "s", "c").first()
     assert (r["calibrated_score"], r["method"]) == (0.9, "uncalibrated")
     assert r["reliability"] == pytest.approx(0.4 + 0.4)
+
+
+def test_one_ranking_gives_all_metrics(spark):
+    """The metric row equals the single metrics, with ties, one class, and rows without a score or a label."""
+    rows = [("a", k * 7 % 10 / 10, int(k * 3 % 7 > 3)) for k in range(60)] + [("b", 0.4, 1), ("b", 0.8, 1), ("c", 0.5, 0), ("a", None, 1), ("a", 0.9, None)]
+    df = spark.createDataFrame(rows, "g string, s double, y int")
+    known = df.filter("s is not null and y is not null")
+    got = {r["g"]: r.asDict() for r in E.all_metrics(df, ["g"], "y", "s").collect()}
+    parts = [E.classification_metrics(df, ["g"], "y", "s"), E.auc_roc(known, ["g"], "y", "s"), E.auc_pr(known, ["g"], "y", "s"), E.fpr_at_tpr(known, ["g"], "y", "s")]
+    want = {}
+    for p in parts:
+        for r in p.collect():
+            want.setdefault(r["g"], {}).update(r.asDict())
+    assert want["a"]["samples"] == 62  # rows without a score or a label are samples, and in no cell
+    assert got.keys() == want.keys()
+    for g in want:
+        assert got[g] == pytest.approx({k: v for k, v in want[g].items() if k != "g"} | {"g": g})

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from provenir.operators.stores import admit
+from provenir.operators.stores import admit, weights_as_of
 from provenir.session import scratch_dir
 from provenir.streaming import keyed as K
 
@@ -135,3 +135,21 @@ def test_replay_has_every_row_once(spark):
     assert sorted(r.id for r in got.collect() if r.id is not None) == list(range(100))
     none = K.collected(K.replay(df.limit(0), "ts", "t-replay"), "t-replay-out")
     assert [r.id for r in none.collect()] == [None]
+
+
+def test_weights_of_a_stream_of_scans(spark):
+    """Scans and versions come in any order within the delay; a late version still counts."""
+    rng = random.Random(5)
+    versions = [(at(s), f"v{k:02}", 0.2 + 0.01 * (k % 5), 0.3, (0.5 if k % 4 else 0.9) - 0.01 * (k % 5)) for k, s in enumerate(sorted(rng.choices(range(50, 900), k=30)))]
+    versions += [(versions[3][0], "v99", 0.1, 0.1, 0.8), (at(60), "v98", None, 0.5, 0.5)]
+    scans = [(k, at(rng.choice([rng.randrange(900), 0, 300]))) for k in range(200)] + [(900 + k, v[0]) for k, v in enumerate(versions)] + [(None, at(5)), (999, None)]
+    v_type, s_type = "valid_from timestamp, version string, biosignal double, artifact double, alignment double", "scan bigint, ts timestamp"
+    asked = spark.createDataFrame([r for r in scans if None not in r], s_type)
+    want = {r.scan: (r.version, r.biosignal, r.artifact, r.alignment) for r in weights_as_of(asked, spark.createDataFrame(versions, v_type), "ts", "valid_from").collect()}
+    timed_scans = [r for r in scans if r[1]]
+    late = [b + ([scans[-1]] if k == 0 else []) for k, b in enumerate(shuffled_batches(timed_scans, 60, 100, rng))] + [[(None, at(10**8))]]
+    v_rows = sorted(versions, key=lambda r: r[0] + timedelta(seconds=rng.uniform(0, 100)))
+    published = [v_rows[k : k + 12] for k in range(0, len(v_rows), 12)] + [[(at(10**8), None, None, None, None)]]
+    live = K.weights_stream(stream_of(spark, late, s_type), stream_of(spark, published, v_type), "scan", "ts", "valid_from", "900 seconds", 4)
+    got = [(r.scan, (r.version, r.biosignal, r.artifact, r.alignment)) for r in K.collected(live, "t-weights").collect()]
+    assert len(got) == len(want) and dict(got) == want and len({w[0] for w in want.values()}) > 10

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from provenir.sources import manifest as M
+from provenir.sources import objects as O
 from provenir.sources import sinks as K
 from provenir.streaming import jobs as J
 from tests.conftest import rows
@@ -122,3 +124,77 @@ def test_one_even_sample(spark):
 
     df = spark.createDataFrame([("a", k) for k in range(5)] + [("b", 0)], "item string, idx bigint")
     assert {(r.item, r.idx) for r in sample_even(df, "item", "idx", 1).collect()} == {("a", 0), ("b", 0)}
+
+
+def test_inventory_reads_long_files_in_pieces(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    (tmp_path / "a b.onnx").write_bytes(b"0123456789" * 100)
+    (tmp_path / "c.pt").write_bytes(b"small")
+    (tmp_path / "e.pt").write_bytes(b"")
+    monkeypatch.setattr(M, "PIECE", 64)
+    got = {r["name"]: (r["length"], r["sha256"]) for r in M.file_inventory(spark, str(tmp_path), whole=10).collect()}
+    want = {"a b.onnx": b"0123456789" * 100, "c.pt": b"small"}  # Spark lists no empty files
+    assert got == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in want.items()}
+
+
+def folders(tmp_path):
+    names = ["top.mp4", "in/a.mp4", "in/b.txt", "in/deep/er/c.mp4", "inner/d.mp4", "out/e.mp4"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(n.encode())
+    return names
+
+
+def test_listing(spark, tmp_path):
+    names = folders(tmp_path)
+    for depth in (0, 1, 2, 5):
+        got = {(r.key, r.size) for r in O.objects(spark, str(tmp_path), depth).collect()} if depth else None
+        assert got is None or got == {(n, len(n)) for n in names}
+    listed = O.objects(spark, str(tmp_path))
+    keys = lambda df: sorted(r.key for r in df.collect())
+    assert keys(listed.filter(F.col("key").startswith("in/"))) == ["in/a.mp4", "in/b.txt", "in/deep/er/c.mp4"]
+    assert keys(listed.filter(F.col("key").startswith("in") & F.col("key").endswith(".mp4") & (F.col("size") > 8))) == ["in/deep/er/c.mp4", "inner/d.mp4"]
+    assert keys(listed.filter(F.col("key").startswith("none"))) == []
+    assert [r.key for r in M.list_objects(listed, "in", 2).collect()] == ["in/a.mp4", "in/b.txt"]
+
+
+def test_a_prefix_cuts_folders_before_they_are_listed(tmp_path):
+    folders(tmp_path)
+    r = O.Listing(str(tmp_path), 1)
+    assert list(r.pushFilters([O.StringStartsWith(("key",), "in/de")])) == []
+    assert [(p.path, p.recursive) for p in r.partitions()] == [("", False), ("in", True)]
+
+
+def results_below(tmp_path):
+    return {str(p.relative_to(tmp_path)): json.loads(p.read_text()) for p in tmp_path.rglob("*") if p.is_file() and "_result.json" in p.name}
+
+
+def test_results_beside_their_sources(spark, tmp_path):
+    folders(tmp_path)
+    df = spark.createDataFrame([("in/a.mp4", 0.5), ("in/deep/er/c.mp4", 0.25), ("new/f.mp4", 1.0), ("in/a.mp4", 0.75), (None, 1.0)], "key string, score double")
+    want = {"in/a_result.json": {"score": 0.75}, "in/deep/er/c_result.json": {"score": 0.25}, "new/f_result.json": {"score": 1.0}}
+    for _ in range(2):  # a replay leaves the same files
+        O.write_beside(df, "key", F.struct("score"), str(tmp_path))
+        assert results_below(tmp_path) == want
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    df = spark.range(20, numPartitions=4).select(F.format_string("k%02d.mp4", "id").alias("key"), F.when(F.col("id") == 17, F.raise_error(F.lit("broken"))).otherwise(F.col("id")).alias("n"))
+    with pytest.raises(Exception, match="broken"):
+        O.write_beside(df, "key", F.struct("n"), str(tmp_path))
+    assert not any(tmp_path.rglob("*.json"))
+    w = O.Beside(str(tmp_path))
+    (tmp_path / "x_result.json.tmp-1").write_text("{}")
+    w.abort([None, O.Written([(f"{tmp_path}/x_result.json.tmp-1", f"{tmp_path}/x_result.json")])])
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_results_of_a_stream(spark, tmp_path):
+    src, cp, out = (str(tmp_path / x) for x in ("src", "cp", "out"))
+    df = entries(spark, 6).select(F.format_string("in/k%d.mp4", "id").alias("key"), "id")
+    for part in ("id < 3", "id >= 3"):
+        df.filter(part).coalesce(1).write.mode("append").parquet(src)
+        s = spark.readStream.schema(df.schema).parquet(src)
+        O.results_stream(s, "key", F.struct("id"), out, cp).awaitTermination()
+    assert {k: v["id"] for k, v in results_below(tmp_path).items()} == {f"out/in/k{i}_result.json": i for i in range(6)}
