@@ -14,6 +14,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from provenir.llm import block_search, line_dedup, lm_scoring, minhash_dedup, packing, pii_disclosure, quality_rules, source_mixing, substring_dedup, token_files
@@ -205,6 +206,37 @@ def test_disclosing_words_everywhere(spark):
     assert clean[5].text == " met "
 
 
+def disclosing(texts, entity_of):
+    """Actions of words by the formulas of the module, with exact counts."""
+    words = [set(re.findall(r"[^\W\d_]{2,}", t.lower())) for t in texts]
+    n, vocabulary = len(texts), len(set().union(*words))
+    entities = {}
+    for k, found in enumerate(entity_of):
+        for e in found:
+            entities.setdefault(e, set()).add(k)
+    n_t, best = Counter(w for ws in words for w in ws), {}
+    for rows in entities.values():
+        n_e = len(rows)
+        for w, both in Counter(w for k in rows for w in words[k]).items():
+            factorial = both * math.log(both) - both + math.log(2 * math.pi * both) / 2
+            by_chance = math.log(vocabulary) + both * math.log(n_t[w] * n_e / n) - factorial
+            if n_e < n and by_chance <= math.log(pii_disclosure.CHANCE):
+                share = math.log2(both * n / (n_e * (n_t[w] + 1))) / math.log2(n / n_e)
+                best[w] = max(share, best.get(w, share))
+    return {w: 5 if share >= 0.9 else 4 for w, share in best.items() if share >= 0.7}
+
+
+def test_disclosing_words_against_brute_force(spark):
+    rng = random.Random(11)
+    entity_of = [[e for e in range(12) if rng.random() < (0.004, 0.01, 0.02, 0.05)[e % 4]] for _ in range(300)]
+    texts = [" ".join([rng.choice("abcdefgh") * rng.randrange(2, 9) for _ in range(8)] + [f"mail{chr(97 + e)}{chr(97 + e)}@x.example nick{chr(97 + e)}" for e in found]) for found in entity_of]
+    texts += [f"only{chr(97 + k)} word" for k in range(20)] + ["nicka came", "nickb came"]
+    entity_of += [[]] * 22
+    docs = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string").withColumn("base", pii_disclosure.base_spans(F.col("text")))
+    got = {r["term"]: r["action"] for r in pii_disclosure.disclosures(docs).collect()}
+    assert got == disclosing(texts, entity_of) and len(got) > 3
+
+
 ENCODERS = {lead: (TextEncoder(public_tokenizers.path(f), lead), Tokenizer.from_file(public_tokenizers.path(f))) for lead, f in ((True, "byte_bpe_50k.json"), (False, "word_bpe_49k.json"))}
 
 
